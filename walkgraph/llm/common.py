@@ -140,6 +140,21 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def flat_words(texts: pa.Array, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """flat(), and in it where each word begins and ends, and each text's first word with one end more.
+
+    space tells of each byte whether it is of no word; words don't reach over texts."""
+    data, at = flat(texts)
+    inside = ~space[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    closes[:-1] &= ~inside[1:] | edge[1:-1]
+    starts = np.flatnonzero(begins)
+    return data, at, starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, at)
+
+
 def lines_of_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text as ' word word ... word ' and a closing zero byte, all in a row; where the zeros are.
 

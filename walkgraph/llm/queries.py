@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkgraph.llm import decontaminate, simhash
+from walkgraph.llm import decontaminate, quality, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.createDataFrame(urls.labelled(), "url string, label int")
+    return urls.judge(_table(spark, sf_dir, "pages"), table, carry=["page_id"])
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(_table(spark, sf_dir, "documents"), ["doc_id"], texts=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_urls, op4_substrings, op8_quality, op10_simhash)}
 
 
 OP1_SQL = r"""
@@ -53,5 +68,46 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+least AS (SELECT s, min(doc_id) AS first FROM places GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM places JOIN least USING (s), unnest(range(i, i + 50)) AS u(p) WHERE first < doc_id),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+         [x[1] for x in list_zip(w, range(1, len(w) + 1)) if NOT list_contains(ps, x[2])] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lists USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+twice AS (SELECT doc_id, s FROM places GROUP BY doc_id, s HAVING count(*) > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM places JOIN twice USING (doc_id, s), unnest(range(i, i + 3)) AS u(p) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
+           - len(list_distinct([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeats USING (doc_id)),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM g GROUP BY source),
+m AS (SELECT avg(bad / n) AS m, var_samp(bad / n) AS v, avg(1 / n) AS r FROM h),
+s AS (
+  SELECT m, CASE WHEN m * (1 - m) > 0 AND v IS NOT NULL
+    THEN greatest(m * (1 - m) / greatest((v - m * (1 - m) * r) / greatest(1 - r, 1e-9), m * (1 - m) * 1e-6) - 1, 0) ELSE 0 END AS k FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND (bad + k * m) / (n + k) <= 0.9 AS kept
+FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source, s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_substrings": OP4_SQL, "op8_quality": OP8_SQL}
