@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkgraph.llm import decontaminate, quality, simhash, substrings, urls
+from walkgraph.llm import chat, decontaminate, ordering, packing, quality, sharding, simhash, substrings, tokens, urls
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,22 +28,45 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), table, carry=["page_id"])
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup(_table(spark, sf_dir, "documents"), ["doc_id"], texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.records(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_urls, op4_substrings, op8_quality, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_decontaminate, op2_urls, op3_chat, op4_substrings, op5_tokens, op6_sharding, op7_packing, op8_quality, op9_ordering, op10_simhash)}
 
 
 OP1_SQL = r"""
