@@ -8,16 +8,21 @@ Every window has a rolling hash (a polynomial modulo 2**64 over hashed words, fr
 and a minimum: the least hash of the GRAM-word runs inside it. Equal windows have equal minima,
 and neighbouring windows mostly share theirs, so a document has far fewer minima than windows.
 
-1. The distinct (minimum, doc_id) are counted: only minima of two or more documents can belong
-   to a window that repeats across documents. This loses nothing and spares the shuffle of all
-   other windows.
-2. Windows with such a minimum are counted by two hashes (96 bits), with the least id of each.
-   Both counts add up before the shuffle, so a passage in a third of all documents is one row
-   from each task.
-3. The places of windows that a smaller id has too go back to their documents, where they merge
+1. Neighbouring windows with the same minimum are a run, kept as a row: its minimum, a hash of all
+   its words, its place. Minima are counted: only those of two or more documents can belong to a
+   window that repeats across documents. This loses nothing and leaves few runs.
+2. These runs are counted by minimum and hash, with the least id of each: in every later document
+   the whole run goes.
+3. The first document's run of each kind stands for all of its kind. Where a minimum has several
+   kinds of runs, these may share some windows: their windows are counted one by one by two hashes
+   (96 bits), with the least id of each.
+4. The places of windows that a smaller id has too go back to their documents, where they merge
    into maximal intervals of words to remove.
 
-The texts are dealt by doc_id once; steps 2 and 3 use the same shuffle.
+All counts add up before the shuffle, so a passage in a third of all documents is one row from
+each task; the joins with them are between two shuffles, so adaptive execution can split them.
+
+The texts are dealt by doc_id once; steps 3 and 4 use the same shuffle.
 
 Defined cases: a null text has no words. Documents with a null id keep all words, and are no
 one's smaller document. Rows with equal ids count as one document: neither is smaller. A text of
@@ -100,44 +105,70 @@ def windows(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.nda
     return hashed, least[at], text, place, at
 
 
-def _minima_of(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    """The distinct (minimum, doc_id) of the documents, as `m` and `d`."""
+def _runs(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
+    """(m, r, d, p, n): the runs of windows with the same minimum m.
+
+    r is a hash of the run's words, p its first word and n its count of windows."""
 
     def run(batches):
         for batch in batches:
             for part in split(batch, text):
-                _, least, of, _, _ = windows(part.column(text), window, gram)
+                hashed, least, of, place, at = windows(part.column(text), window, gram)
                 new = np.ones(len(of), bool)
                 new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
-                ids = part.column(doc_id).take(pa.array(of[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), ids], ["m", "d"])
-
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(of)))
+                up, down = _powers(FIRST_BASE, len(hashed) + 1)
+                sums = np.zeros(len(hashed) + 1, U64)
+                np.cumsum(hashed * up[: len(hashed)], out=sums[1:])
+                begin = at[first]
+                r = mixed((sums[begin + n + window - 1] - sums[begin]) * down[begin] + n.astype(U64) * U64(SECOND_BASE))
+                columns = [pa.array(least[first].view(np.int64)), pa.array(r.view(np.int64)), part.column(doc_id).take(pa.array(of[first])), pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["m", "r", "d", "p", "n"])
+
+    fields = [("m", T.LongType()), ("r", T.LongType()), ("d", docs.schema[doc_id].dataType), ("p", T.IntegerType()), ("n", T.IntegerType())]
     rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text)
-    return rows.mapInArrow(run, T.StructType([T.StructField("m", T.LongType()), T.StructField("d", docs.schema[doc_id].dataType)]))
+    return rows.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def _candidates(joined: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    """(h, h2, d, p) of the windows with a minimum in `__ms`, the document's list of those that other documents have too."""
+def _single(joined: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
+    """(h, h2, d, p) of the windows that `__at`, a list of (first word, count) of the document's runs, names."""
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("__ms")))
+            batch = batch.filter(pc.is_valid(batch.column("__at")))
             for part in split(batch, text):
-                hashed, least, of, place, at = windows(part.column(text), window, gram)
-                listed = part.column("__ms").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-                hit = np.flatnonzero(np.isin(least, listed))
+                hashed, _, of, place, at = windows(part.column(text), window, gram)
+                named = part.column("__at")
+                rows = np.repeat(np.arange(part.num_rows), named.value_lengths().to_numpy(zero_copy_only=False))
+                both = named.flatten()
+                p, n = both.field("p").to_numpy(zero_copy_only=False), both.field("n").to_numpy(zero_copy_only=False)
+                begin = np.searchsorted(of, np.arange(part.num_rows))
+                size = np.append(begin[1:], len(of)) - begin
+                fits = p + n <= size[rows]  # another row of the same id may have other words
+                rows, p, n = rows[fits], p[fits], n[fits]
+                hit = np.unique(np.repeat(begin[rows] + p - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 one = mixed(rolled(hashed, FIRST_BASE, window))[at[hit]]
                 two = (mixed(rolled(hashed, SECOND_BASE, window))[at[hit]] >> U64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), part.column(doc_id).take(pa.array(of[hit])), pa.array(place[hit].astype(np.int32))],
-                    ["h", "h2", "d", "p"],
-                )
+                columns = [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), part.column(doc_id).take(pa.array(of[hit])), pa.array(place[hit].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "h2", "d", "p"])
 
-    kind = joined.schema[doc_id].dataType
-    fields = [("h", T.LongType()), ("h2", T.IntegerType()), ("d", kind), ("p", T.IntegerType())]
+    fields = [("h", T.LongType()), ("h2", T.IntegerType()), ("d", joined.schema[doc_id].dataType), ("p", T.IntegerType())]
     return joined.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
+def _least(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The least d of each key, in columns that a join has to deal anew: then both of its sides are shuffles, which it may split."""
+    found = rows.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most")
+    return found.select(*[F.col(k).bitwiseXOR(F.lit(-1)).alias(f"__{k}") for k in keys], "least")
+
+
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of which a smaller d has the same key."""
+    same = [F.col(k).bitwiseXOR(F.lit(-1)) == F.col(f"__{k}") for k in keys]
+    return rows.join(_least(rows, keys), same).where("d > least")
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 ADDED = [
     T.StructField("n_words", T.LongType()),
@@ -157,11 +188,12 @@ def _cut(batch: pa.RecordBatch, text: str, window: int, texts: bool) -> list[pa.
         raw = whole[at[i] : at[i + 1]]
         words = raw.split()
         own: list[tuple[int, int]] = []
-        for p in sorted(ps or ()):
+        for p, n in sorted((x["p"], x["n"]) for x in ps or ()):
+            stop = min(p + n + window - 1, int(n_words[i]))
             if own and p <= own[-1][1]:
-                own[-1] = (own[-1][0], p + window)
-            else:
-                own.append((p, p + window))
+                own[-1] = (own[-1][0], max(own[-1][1], stop))
+            elif p < stop:
+                own.append((p, stop))
         if own:
             begin, parts = 0, []
             for a, b in own:
@@ -182,19 +214,20 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id
 
     carry names the columns to have in the result (all by default); texts=False leaves kept_text null."""
     gram = min(gram, window)
-    spark, names = docs.sparkSession, [f.name for f in ADDED]
+    names = [f.name for f in ADDED]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    minimum = written(_minima_of(docs, doc_id, text, window, gram))
-    common = minimum.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("m")
-    lists = minimum.join(common, "m", "left_semi").groupBy("d").agg(F.collect_set("m").alias("__ms"))
+    every = written(_runs(docs, doc_id, text, window, gram))
+    common = every.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select(F.col("m").bitwiseXOR(F.lit(-1)).alias("__m"))
+    runs = written(every.join(common, F.col("m").bitwiseXOR(F.lit(-1)) == F.col("__m"), "left_semi"))
     base = docs.select(*kept, *[c for c in (doc_id, text) if c not in kept])
-    dealt = base.repartition(partitions(spark), doc_id)
+    dealt = base.repartition(partitions(docs.sparkSession), doc_id)
+    kinds = runs.groupBy("m", "r").agg(F.min("d").alias("d"))
+    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m")
+    stand = runs.join(kinds.join(several, "m", "left_semi"), ["m", "r", "d"]).groupBy("d").agg(F.collect_set(F.struct("p", "n")).alias("__at"))
     # An outer join leaves the shuffle of the texts as it is below, so that it is used again.
-    with_lists = dealt.join(lists, F.col(doc_id) == F.col("d"), "left").drop("d")
-    found = _candidates(with_lists, doc_id, text, window, gram)
-    least = found.groupBy("h", "h2").agg(F.min("d").alias("least"))
-    later = found.join(least, ["h", "h2"]).where("d > least")
-    places = later.groupBy("d").agg(F.collect_list("p").alias("__ps"))
+    single = _single(dealt.join(stand, F.col(doc_id) == F.col("d"), "left").drop("d"), doc_id, text, window, gram)
+    gone = _later(runs, ["m", "r"]).select("d", "p", "n").unionByName(_later(single, ["h", "h2"]).select("d", "p", F.lit(1).alias("n")))
+    places = gone.groupBy("d").agg(F.collect_list(F.struct("p", "n")).alias("__ps"))
     marked = dealt.join(places, F.col(doc_id) == F.col("d"), "left").drop("d")
     return with_arrow(marked, ADDED, lambda batch: _cut(batch, text, window, texts), kept, text)
 
