@@ -82,10 +82,12 @@ def records(docs: DataFrame, ids: Bytes | Ranks | None = None, length: int = LEN
     docs_of = sized.groupBy("__doc", "__hash", "__parts").agg(F.count(F.lit(1)).alias("__copies"))
     docs_of = docs_of.withColumn("__weight", F.col("__parts") * F.col("__copies"))
     firsts, total = numbered(docs_of, ["__doc", "__hash", "__parts"], "__begin", weight="__weight")
-    firsts = firsts.select(F.col("__doc").alias("__d"), F.col("__hash").alias("__h"), F.col("__parts").alias("__p"), "__begin")
-    met = rows.withColumn("__hash", F.xxhash64("__text")).join(firsts, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")))
-    same = W.partitionBy("__doc", "__hash").orderBy(F.lit(0))
-    met = met.withColumn("__begin", F.col("__begin") + (F.row_number().over(same) - 1) * F.col("__p")).select("__doc", "__text", "__begin")
+    # A key without nulls, so that the join and the numbers of equal rows use the same shuffle.
+    known = F.coalesce(F.concat(F.lit("v"), F.col("__doc").cast("string")), F.lit("n"))
+    firsts = firsts.select(known.alias("__id"), "__hash", "__parts", "__begin")
+    met = rows.select(known.alias("__id"), F.xxhash64("__text").alias("__hash"), "__doc", "__text").join(firsts, ["__id", "__hash"])
+    same = W.partitionBy("__id", "__hash").orderBy(F.lit(0))
+    met = met.select("__doc", "__text", (F.col("__begin") + (F.row_number().over(same) - 1) * F.col("__parts")).alias("__begin"))
     parts = partitions(spark)
 
     def run(batches):
