@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 21
 #: What a row of monotonically_increasing_id() has below the partition's number.
 ROW_BITS = 33
 U64 = np.uint64
+#: A byte that is in no UTF-8 text.
+END = 0xFF
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -156,29 +158,29 @@ def flat_words(texts: pa.Array, space: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def lines_of_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text as ' word word ... word ' and a closing zero byte, all in a row; where the zeros are.
+    """Each text as ' word word ... word ' and a closing END, all in a row; where the ENDs are.
 
     table maps bytes: to 0x20 what is not of a word, else to the byte that stands for it."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     kind = pa.large_binary()
-    whole = pc.binary_join_element_wise(*[pa.scalar(b" ", kind), texts.cast(kind), pa.scalar(b" \x00", kind), pa.scalar(b"", kind)])
+    whole = pc.binary_join_element_wise(*[pa.scalar(b" ", kind), texts.cast(kind), pa.scalar(b" \xff", kind), pa.scalar(b"", kind)])
     data, at = flat(whole)
     mapped = table[data]
-    mapped[at[1:] - 1] = 0
+    mapped[at[1:] - 1] = END
     keep = mapped != 0x20
     keep[1:] |= keep[:-1].copy()
     keep[0] = True
     squeezed = mapped[keep]
-    return squeezed, np.flatnonzero(squeezed == 0)
+    return squeezed, np.flatnonzero(squeezed == END)
 
 
 def words_in(line: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lines_of_words(): where each word begins and ends, and each text's first word with one end more."""
     space = line == 0x20
     after = np.flatnonzero(space) + 1
-    starts = after[line[after] != 0]
-    stops = np.flatnonzero(space[1:] & ~space[:-1] & (line[:-1] != 0)) + 1
+    starts = after[line[after] != END]
+    stops = np.flatnonzero(space[1:] & ~space[:-1] & (line[:-1] != END)) + 1
     return starts, stops, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 

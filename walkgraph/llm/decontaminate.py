@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walkgraph.llm.common import U64, lines_of_words, sheltered, with_arrow, without
+from walkgraph.llm.common import END, U64, lines_of_words, sheltered, with_arrow, without
 
 WINDOW = 13
 #: Benchmark bytes in one set of tables, which each Python worker holds. A larger benchmark is
@@ -143,7 +143,7 @@ class Searcher:
         padded = np.zeros(len(line) + 16, np.uint8)
         padded[8:-8] = line
         eights = np.ndarray(len(line) + 9, "<u8", padded.data, 0, (1,))
-        spaces = np.flatnonzero((line[:-1] == 0x20) & (line[1:] > 0x20)) if len(line) else np.zeros(0, np.int64)
+        spaces = np.flatnonzero((line[:-1] == 0x20) & (line[1:] != END)) if len(line) else np.zeros(0, np.int64)
         first = np.concatenate([[0], np.searchsorted(spaces, ends)])
         out = [(int(n), [], set()) for n in np.diff(first)]
         data = padded.tobytes()
