@@ -17,7 +17,7 @@ def test_stages(spark, data):
         after = {r["doc_id"]: r["text"] for r in docs.collect()} if "text" in docs.columns else {}
         pairs = sorted(before.items())
         if name == "quality rules":
-            judged = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(spark.read.parquet(f"{data}/documents.parquet").collect())).collect()}
+            judged = {r["doc_id"]: r["kept"] for r in quality.judge(spark.read.parquet(f"{data}/documents.parquet")).collect()}
             assert set(after) == {d for d, k in judged.items() if k}
         elif name == "near duplicates":
             assert set(after) == {c for _, _, c in simhash.brute(pairs)}

@@ -31,8 +31,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """documents with FIGURES; without the columns that are not in carry (all by default)."""
+def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None, barrier: bool = False) -> DataFrame:
+    """documents with FIGURES; without the columns that are not in carry (all by default).
+
+    barrier adds a column `__row` that depends on the row's place. A filter on the figures that
+    names it too stays above them; pushed below, it would repeat their expressions many times over."""
     kept = [c for c in (docs.columns if carry is None else carry) if c not in FIGURES]
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(*kept, whole.alias("__t"))
@@ -69,7 +72,8 @@ def measured(docs: DataFrame, text: str = "text", carry: list[str] | None = None
     )
     out = step4.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__p")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).select(*kept, *FIGURES)
+    place = [F.monotonically_increasing_id().alias("__row")] * barrier
+    return out.withColumn("base_failed", failed).select(*kept, *FIGURES, *place)
 
 
 def host_rates(marked: DataFrame, host: str = "source") -> DataFrame:
@@ -107,4 +111,5 @@ def good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame
     """The documents that are kept, as they were."""
     inside, back = sheltered(docs, [*FIGURES, "kept"])
     hosts = host_rates(measured(inside, text, [host]), host)
-    return back(with_verdict(measured(inside, text), hosts, host).where("kept"))
+    marked = measured(inside, text, barrier=True)
+    return back(with_verdict(marked, hosts, host).where(F.col("kept") & (F.col("__row") >= 0)))
