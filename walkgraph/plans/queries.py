@@ -109,10 +109,10 @@ def contains_node(spark, d):
     return graph.contains(_asked(spark, d), views.nodes(spark, d))
 
 
-@query(f"WITH {NODES}, {ASKED} SELECT q.id AS pos, md5(CAST(q.id AS VARCHAR)) AS pubkey, n.id FROM q LEFT JOIN n USING (id)")
+@query(f"WITH {NODES}, {ASKED} SELECT q.id AS pos, md5(CAST(q.id AS VARCHAR)) AS pubkey, CAST(n.id AS VARCHAR) AS id FROM q LEFT JOIN n USING (id)")
 def node_ids_lookup(spark, d):
     keys = _asked(spark, d).select(F.col("id").alias("pos"), F.md5(F.col("id").cast("string")).alias("pubkey"))
-    return graph.node_ids(keys, views.nodes(spark, d))
+    return graph.node_ids(keys, views.nodes(spark, d)).withColumn("id", F.col("id").cast("string"))
 
 
 @query(f"WITH {NODES}, {ASKED} SELECT q.id AS pos, q.id, n.pubkey FROM q LEFT JOIN n USING (id)")
@@ -145,12 +145,13 @@ def follower_counts(spark, d):
 
 
 @query(f"""WITH {NODES} SELECT id, CAST(floor(epoch(added_ts)) AS BIGINT) AS added,
-CASE WHEN status = 'active' THEN CAST(floor(epoch(added_ts)) AS BIGINT) + 60 END AS promoted, CAST(NULL AS BIGINT) AS demoted FROM n""")
+CASE WHEN status = 'active' THEN CAST(CAST(floor(epoch(added_ts)) AS BIGINT) + 60 AS VARCHAR) END AS promoted, CAST(NULL AS VARCHAR) AS demoted FROM n""")
 def node_records(spark, d):
     nodes = views.nodes(spark, d)
     later = F.when(F.col("status") == "active", F.col("added_ts") + F.expr("INTERVAL 60 SECONDS"))
     rows = graph.record_list(nodes.withColumn("promotion_ts", later).withColumn("demotion_ts", F.lit(None).cast("timestamp")))
-    return rows.select("id", *[F.unix_seconds(graph.record("records", k)).alias(c) for k, c in ((-3, "added"), (-2, "promoted"), (-1, "demoted"))])
+    added, *others = [F.unix_seconds(graph.record("records", k)) for k in (-3, -2, -1)]
+    return rows.select("id", added.alias("added"), *[x.cast("string").alias(c) for x, c in zip(others, ("promoted", "demoted"))])
 
 
 @query(f"""WITH {NODES} SELECT id, pubkey, status, CAST(floor(epoch(added_ts)) AS BIGINT) AS added FROM n""")
