@@ -292,3 +292,15 @@ def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+
+
+def test_registered_functions(spark):
+    from walkgraph.functions.register import register
+
+    edges, n, _, own = GRAPHS["acyclic 1"]
+    graph, config = graph_of(spark, edges, n), WalkConfig(walks_per_node=7)
+    register(spark, graph.edges, config)
+    found = spark.sql("SELECT w.* FROM range(5) AS n, LATERAL random_walks(n.id) AS w")
+    assert found.exceptAll(walks.generate_all(graph, config)).isEmpty() and found.count() == 35
+    assert l1(scores(spark.sql("SELECT * FROM personalized_rank(0L, 20000)"), n), own) <= 0.03
+    assert spark.sql(f"SELECT is_valid_pubkey('{KEYS['pip']}')").first()[0] and not spark.sql(f"SELECT is_valid_pubkey('{INVALID}')").first()[0]
