@@ -240,11 +240,12 @@ def parse_pubkeys(spark, d):
 
 
 def _applied(spark, d):
-    """The graph of the authors alone, after their newest follow lists."""
-    nodes = views.nodes(spark, d).where("id % 2 = 0").withColumn("promotion_ts", F.lit(None).cast("timestamp")).withColumn("demotion_ts", F.lit(None).cast("timestamp"))
-    edges = _edges(spark, d).where("src % 2 = 0 and dst % 2 = 0")
-    newest = events.latest(views.events(spark, d).select(*EVENTS.names))
-    return events.apply_graph(newest, GraphStore(nodes, edges), F.lit(NOW).cast("timestamp"), check=False)
+    """The graph of all users after their newest follow lists, each of which also has the key of id + 7: some are unknown."""
+    nodes = views.nodes(spark, d).withColumn("promotion_ts", F.lit(None).cast("timestamp")).withColumn("demotion_ts", F.lit(None).cast("timestamp"))
+    more = F.array(F.array(F.lit("p"), F.md5((F.col("user_id") + 7).cast("string"))))
+    listed = views.events(spark, d).withColumn("tags", F.concat("tags", more))
+    newest = events.latest(listed.select(*EVENTS.names))
+    return events.apply_graph(newest, GraphStore(nodes, _edges(spark, d)), F.lit(NOW).cast("timestamp"), check=False)
 
 
 _APPLIED = f"""{EVENTS_SQL}, {EDGES}, {NODES},
