@@ -106,9 +106,9 @@ def windows(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.nda
 
 
 def _runs(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    """(m, r, d, p, n): the runs of windows with the same minimum m.
+    """(m, r, d, t, p, n): the runs of windows with the same minimum m.
 
-    r is a hash of the run's words, p its first word and n its count of windows."""
+    r is a hash of the run's words, t one of its text, p its first word and n its count of windows."""
 
     def run(batches):
         for batch in batches:
@@ -123,16 +123,16 @@ def _runs(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> Da
                 np.cumsum(hashed * up[: len(hashed)], out=sums[1:])
                 begin = at[first]
                 r = mixed((sums[begin + n + window - 1] - sums[begin]) * down[begin] + n.astype(U64) * U64(SECOND_BASE))
-                columns = [pa.array(least[first].view(np.int64)), pa.array(r.view(np.int64)), part.column(doc_id).take(pa.array(of[first])), pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["m", "r", "d", "p", "n"])
+                columns = [pa.array(least[first].view(np.int64)), pa.array(r.view(np.int64)), part.column(doc_id).take(pa.array(of[first])), part.column("__t").take(pa.array(of[first])), pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["m", "r", "d", "t", "p", "n"])
 
-    fields = [("m", T.LongType()), ("r", T.LongType()), ("d", docs.schema[doc_id].dataType), ("p", T.IntegerType()), ("n", T.IntegerType())]
-    rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text)
+    fields = [("m", T.LongType()), ("r", T.LongType()), ("d", docs.schema[doc_id].dataType), ("t", T.LongType()), ("p", T.IntegerType()), ("n", T.IntegerType())]
+    rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(text).alias("__t"))
     return rows.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def _single(joined: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    """(h, h2, d, p) of the windows that `__at`, a list of (first word, count) of the document's runs, names."""
+    """(h, h2, d, t, p) of the windows that `__at`, a list of (first word, count) of the document's runs, names."""
 
     def run(batches):
         for batch in batches:
@@ -144,16 +144,13 @@ def _single(joined: DataFrame, doc_id: str, text: str, window: int, gram: int) -
                 both = named.flatten()
                 p, n = both.field("p").to_numpy(zero_copy_only=False), both.field("n").to_numpy(zero_copy_only=False)
                 begin = np.searchsorted(of, np.arange(part.num_rows))
-                size = np.append(begin[1:], len(of)) - begin
-                fits = p + n <= size[rows]  # another row of the same id may have other words
-                rows, p, n = rows[fits], p[fits], n[fits]
                 hit = np.unique(np.repeat(begin[rows] + p - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 one = mixed(rolled(hashed, FIRST_BASE, window))[at[hit]]
                 two = (mixed(rolled(hashed, SECOND_BASE, window))[at[hit]] >> U64(32)).astype(np.uint32)
-                columns = [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), part.column(doc_id).take(pa.array(of[hit])), pa.array(place[hit].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "h2", "d", "p"])
+                columns = [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), part.column(doc_id).take(pa.array(of[hit])), part.column("__t").take(pa.array(of[hit])), pa.array(place[hit].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "h2", "d", "t", "p"])
 
-    fields = [("h", T.LongType()), ("h2", T.IntegerType()), ("d", joined.schema[doc_id].dataType), ("p", T.IntegerType())]
+    fields = [("h", T.LongType()), ("h2", T.IntegerType()), ("d", joined.schema[doc_id].dataType), ("t", T.LongType()), ("p", T.IntegerType())]
     return joined.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
@@ -220,15 +217,17 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id
     common = every.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select(F.col("m").bitwiseXOR(F.lit(-1)).alias("__m"))
     runs = written(every.join(common, F.col("m").bitwiseXOR(F.lit(-1)) == F.col("__m"), "left_semi"))
     base = docs.select(*kept, *[c for c in (doc_id, text) if c not in kept])
-    dealt = base.repartition(partitions(docs.sparkSession), doc_id)
+    # Rows of one id may have different texts.
+    dealt = base.withColumn("__t", F.xxhash64(text)).repartition(partitions(docs.sparkSession), doc_id, "__t")
+    same = (F.col(doc_id) == F.col("d")) & (F.col("__t") == F.col("__of"))
     kinds = runs.groupBy("m", "r").agg(F.min("d").alias("d"))
     several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m")
-    stand = runs.join(kinds.join(several, "m", "left_semi"), ["m", "r", "d"]).groupBy("d").agg(F.collect_set(F.struct("p", "n")).alias("__at"))
+    stand = runs.join(kinds.join(several, "m", "left_semi"), ["m", "r", "d"]).groupBy("d", F.col("t").alias("__of")).agg(F.collect_set(F.struct("p", "n")).alias("__at"))
     # An outer join leaves the shuffle of the texts as it is below, so that it is used again.
-    single = _single(dealt.join(stand, F.col(doc_id) == F.col("d"), "left").drop("d"), doc_id, text, window, gram)
-    gone = _later(runs, ["m", "r"]).select("d", "p", "n").unionByName(_later(single, ["h", "h2"]).select("d", "p", F.lit(1).alias("n")))
-    places = gone.groupBy("d").agg(F.collect_list(F.struct("p", "n")).alias("__ps"))
-    marked = dealt.join(places, F.col(doc_id) == F.col("d"), "left").drop("d")
+    single = _single(dealt.join(stand, same, "left").drop("d", "__of"), doc_id, text, window, gram)
+    gone = _later(runs, ["m", "r"]).select("d", "t", "p", "n").unionByName(_later(single, ["h", "h2"]).select("d", "t", "p", F.lit(1).alias("n")))
+    places = gone.groupBy("d", F.col("t").alias("__of")).agg(F.collect_list(F.struct("p", "n")).alias("__ps"))
+    marked = dealt.join(places, same, "left").drop("d", "__of")
     return with_arrow(marked, ADDED, lambda batch: _cut(batch, text, window, texts), kept, text)
 
 
