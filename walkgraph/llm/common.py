@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,26 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a temporary one (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a local master, else an error."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir", None):
         return found
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="walkgraph-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, kept in the shared folder in their partitions and order."""
     shared_dir(df.sparkSession)
@@ -44,20 +55,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder; removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "table")
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove() -> None:
     for spark, path in _WRITTEN:
-        if spark.sparkContext._jsc is None or spark.sparkContext._gateway is None:
-            continue
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that fresh_path() named, if the session still runs."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._gateway is None:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def apart(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with its keys as one column `name` in their place.
+
+    An aggregate by the keys is dealt by them. A join with it on the keys would use that, and
+    adaptive execution splits a hot key only where both sides are shuffles made for the join:
+    a join on this column deals both sides anew, so that it can."""
+    return df.withColumn(name, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])).drop(*keys)
+
+
+def key_of(*keys: str) -> Column:
+    """What a column made by apart() equals."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
 def partitions(spark: SparkSession) -> int:

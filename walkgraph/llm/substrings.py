@@ -7,27 +7,31 @@ id. Windows are judged on the input.
 Every window has a rolling hash (a polynomial modulo 2**64 over hashed words, from prefix sums)
 and a minimum: the least hash of the GRAM-word runs inside it. Equal windows have equal minima,
 and neighbouring windows mostly share theirs, so a document has far fewer minima than windows.
-
-1. Neighbouring windows with the same minimum are a run, kept as a row: its minimum, a hash of all
-   its words, its place. Minima are counted: only those of two or more documents can belong to a
-   window that repeats across documents. This loses nothing and leaves few runs.
-2. These runs are counted by minimum and hash, with the least id of each: in every later document
-   the whole run goes.
+Rolling hashes select candidates only. A candidate's words themselves, joined by one space, are
+compared by a BLAKE2b digest of them that is part of its key, so texts made to collide under the
+polynomial are told apart.
+
+1. Neighbouring windows with the same minimum are a run, kept as a row: its minimum, a hash and
+   the digest of all its words, its place. Minima are counted: only those of two or more
+   documents can belong to a window that repeats across documents. This loses nothing and leaves
+   few runs.
+2. These runs are counted by minimum, hash and digest, with the least id of each: in every later
+   document the whole run goes.
 3. The first document's run of each kind stands for all of its kind. Where a minimum has several
-   kinds of runs, these may share some windows: their windows are counted one by one by two hashes
-   (96 bits), with the least id of each.
+   kinds of runs, these may share some windows: their windows are counted one by one by hash and
+   digest, with the least id of each.
 4. The places of windows that a smaller id has too go back to their documents, where they merge
    into maximal intervals of words to remove.
 
 All counts add up before the shuffle, so a passage in a third of all documents is one row from
-each task; the joins with them are between two shuffles, so adaptive execution can split them.
-
-The texts are dealt by doc_id once; steps 3 and 4 use the same shuffle.
+each task; every join is between two shuffles of its own, so adaptive execution can split its
+hot keys. The texts are dealt by id and text hash; steps 3 and 4 use the same shuffle.
 
 Defined cases: a null text has no words. Documents with a null id keep all words, and are no
-one's smaller document. Rows with equal ids count as one document: neither is smaller. A text of
-fewer than WINDOW words keeps all. A column of documents named as a result is replaced. The kept
-text has the white space of the text as it was.
+one's smaller document; they aren't dealt. Rows with equal ids count as one document: neither is
+smaller; each loses what its own text repeats. A text of fewer than WINDOW words keeps all. A
+column of documents named as a result is replaced. The kept text has the white space of the text
+as it was. A very long text is worked on alone, whole.
 """
 
 from __future__ import annotations
@@ -41,13 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walkgraph.llm.common import U64, flat_words, mixed, partitions, sheltered, split, with_arrow, written
+from walkgraph.llm.common import U64, apart, flat_words, key_of, lines_of_words, mixed, sheltered, space_table, split, with_arrow, words_in, written
 
 WINDOW = 50
 GRAM = 16
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+TABLE = space_table(lower=False)
+SPACE = TABLE == 0x20
 #: Odd bases of the polynomials over bytes and over words.
-BYTE_BASE, GRAM_BASE, FIRST_BASE, SECOND_BASE = 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F
+BYTE_BASE, GRAM_BASE, FIRST_BASE, COUNT_FACTOR = 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -93,64 +98,75 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def windows(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of all words in the texts; of each window its minimum, its text, its first word in it and among all words."""
-    data, _, starts, stops, first = flat_words(texts, SPACE)
-    hashed = word_hashes(data, starts, stops)
-    n = np.maximum(np.diff(first) - window + 1, 0)
-    text = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = place + np.repeat(first[:-1], n)
-    least = minima(mixed(rolled(hashed, GRAM_BASE, gram)), window - gram + 1) if at.size else np.zeros(0, U64)
-    return hashed, least[at], text, place, at
+class Windows:
+    """The windows of texts: of each its minimum, its text, its first word in it (place) and among all words (at)."""
+
+    def __init__(self, texts: pa.Array, window: int, gram: int):
+        line, ends = lines_of_words(texts, TABLE)
+        self._starts, self._stops, first = words_in(line, ends)
+        self._line, self.window = line.tobytes(), window
+        self.hashed = word_hashes(line, self._starts, self._stops)
+        n = np.maximum(np.diff(first) - window + 1, 0)
+        self.text = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.at = self.place + np.repeat(first[:-1], n)
+        least = minima(mixed(rolled(self.hashed, GRAM_BASE, gram)), window - gram + 1) if self.at.size else np.zeros(0, U64)
+        self.least = least[self.at]
+
+    def digests(self, which: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """A digest of the words that n windows from each of `which` on cover."""
+        begin, stop = self._starts[self.at[which]], self._stops[self.at[which] + n + self.window - 2]
+        line, blake = self._line, hashlib.blake2b
+        out = b"".join([blake(line[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), stop.tolist())])
+        return np.frombuffer(out, np.int64)
 
 
 def _runs(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    """(m, r, d, t, p, n): the runs of windows with the same minimum m.
+    """(m, r, c, d, t, p, n): the runs of windows with the same minimum m.
 
-    r is a hash of the run's words, t one of its text, p its first word and n its count of windows."""
+    r is a hash of the run's words and c their digest, t a hash of its text, p its first word and n its count of windows."""
 
     def run(batches):
         for batch in batches:
             for part in split(batch, text):
-                hashed, least, of, place, at = windows(part.column(text), window, gram)
-                new = np.ones(len(of), bool)
-                new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
+                w = Windows(part.column(text), window, gram)
+                new = np.ones(len(w.at), bool)
+                new[1:] = (w.least[1:] != w.least[:-1]) | (w.text[1:] != w.text[:-1])
                 first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(of)))
-                up, down = _powers(FIRST_BASE, len(hashed) + 1)
-                sums = np.zeros(len(hashed) + 1, U64)
-                np.cumsum(hashed * up[: len(hashed)], out=sums[1:])
-                begin = at[first]
-                r = mixed((sums[begin + n + window - 1] - sums[begin]) * down[begin] + n.astype(U64) * U64(SECOND_BASE))
-                columns = [pa.array(least[first].view(np.int64)), pa.array(r.view(np.int64)), part.column(doc_id).take(pa.array(of[first])), part.column("__t").take(pa.array(of[first])), pa.array(place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["m", "r", "d", "t", "p", "n"])
-
-    fields = [("m", T.LongType()), ("r", T.LongType()), ("d", docs.schema[doc_id].dataType), ("t", T.LongType()), ("p", T.IntegerType()), ("n", T.IntegerType())]
+                n = np.diff(np.append(first, len(w.at)))
+                up, down = _powers(FIRST_BASE, len(w.hashed) + 1)
+                sums = np.zeros(len(w.hashed) + 1, U64)
+                np.cumsum(w.hashed * up[: len(w.hashed)], out=sums[1:])
+                begin, of = w.at[first], pa.array(w.text[first])
+                r = mixed((sums[begin + n + window - 1] - sums[begin]) * down[begin] + n.astype(U64) * U64(COUNT_FACTOR))
+                columns = [pa.array(w.least[first].view(np.int64)), pa.array(r.view(np.int64)), pa.array(w.digests(first, n)), part.column(doc_id).take(of), part.column("__t").take(of), pa.array(w.place[first].astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["m", "r", "c", "d", "t", "p", "n"])
+
+    fields = [("m", T.LongType()), ("r", T.LongType()), ("c", T.LongType()), ("d", docs.schema[doc_id].dataType), ("t", T.LongType()), ("p", T.IntegerType()), ("n", T.IntegerType())]
     rows = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(text).alias("__t"))
     return rows.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def _single(joined: DataFrame, doc_id: str, text: str, window: int, gram: int) -> DataFrame:
-    """(h, h2, d, t, p) of the windows that `__at`, a list of (first word, count) of the document's runs, names."""
+    """(h, c, d, t, p) of the windows that `__at`, a list of (first word, count) of the document's runs, names."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("__at")))
             for part in split(batch, text):
-                hashed, _, of, place, at = windows(part.column(text), window, gram)
+                w = Windows(part.column(text), window, gram)
                 named = part.column("__at")
                 rows = np.repeat(np.arange(part.num_rows), named.value_lengths().to_numpy(zero_copy_only=False))
                 both = named.flatten()
                 p, n = both.field("p").to_numpy(zero_copy_only=False), both.field("n").to_numpy(zero_copy_only=False)
-                begin = np.searchsorted(of, np.arange(part.num_rows))
+                begin = np.searchsorted(w.text, np.arange(part.num_rows))
                 hit = np.unique(np.repeat(begin[rows] + p - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                one = mixed(rolled(hashed, FIRST_BASE, window))[at[hit]]
-                two = (mixed(rolled(hashed, SECOND_BASE, window))[at[hit]] >> U64(32)).astype(np.uint32)
-                columns = [pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), part.column(doc_id).take(pa.array(of[hit])), part.column("__t").take(pa.array(of[hit])), pa.array(place[hit].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "h2", "d", "t", "p"])
+                h = mixed(rolled(w.hashed, FIRST_BASE, window))[w.at[hit]]
+                of = pa.array(w.text[hit])
+                columns = [pa.array(h.view(np.int64)), pa.array(w.digests(hit, 1)), part.column(doc_id).take(of), part.column("__t").take(of), pa.array(w.place[hit].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "c", "d", "t", "p"])
 
-    fields = [("h", T.LongType()), ("h2", T.IntegerType()), ("d", joined.schema[doc_id].dataType), ("t", T.LongType()), ("p", T.IntegerType())]
+    fields = [("h", T.LongType()), ("c", T.LongType()), ("d", joined.schema[doc_id].dataType), ("t", T.LongType()), ("p", T.IntegerType())]
     return joined.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
@@ -176,32 +192,49 @@ ADDED = [
 ]
 
 
+def _merged(places: list, n_words: int, window: int) -> list[tuple[int, int]]:
+    """Maximal intervals of the words that the windows (first p, count n) cover."""
+    out: list[tuple[int, int]] = []
+    for p, n in sorted((x["p"], x["n"]) for x in places):
+        stop = min(p + n + window - 1, n_words)
+        if out and p <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        elif p < stop:
+            out.append((p, stop))
+    return out
+
+
 def _cut(batch: pa.RecordBatch, text: str, window: int, texts: bool) -> list[pa.Array]:
-    data, at, starts, _, first = flat_words(batch.column(text), SPACE)
-    places, whole = batch.column("__ps").to_pylist(), data.tobytes()
-    n_words = np.diff(first)
+    line, ends = lines_of_words(batch.column(text), TABLE)
+    begins, stops, first = words_in(line, ends)
+    joined, n_words = memoryview(line), np.diff(first)
+    if texts:
+        data, at, starts, _, _ = flat_words(batch.column(text), SPACE)
+        whole = data.tobytes()
     n_removed, spans, kept, digests = [], [], [], []
-    for i, ps in enumerate(places):
-        raw = whole[at[i] : at[i + 1]]
-        words = raw.split()
-        own: list[tuple[int, int]] = []
-        for p, n in sorted((x["p"], x["n"]) for x in ps or ()):
-            stop = min(p + n + window - 1, int(n_words[i]))
-            if own and p <= own[-1][1]:
-                own[-1] = (own[-1][0], max(own[-1][1], stop))
-            elif p < stop:
-                own.append((p, stop))
-        if own:
-            begin, parts = 0, []
-            for a, b in own:
-                parts.append(raw[begin : starts[first[i] + a] - at[i]])
-                begin = starts[first[i] + b] - at[i] if b < n_words[i] else len(raw)
-            raw = b"".join([*parts, raw[begin:]])
-            words = raw.split()
+    for i, places in enumerate(batch.column("__ps").to_pylist()):
+        own = _merged(places, int(n_words[i]), window) if places else []
+        # Kept words between removed intervals, each piece with the spaces inside it.
+        cuts = [0, *(x for ab in own for x in ab), int(n_words[i])]
+        pieces = [(first[i] + a, first[i] + b) for a, b in zip(cuts[::2], cuts[1::2]) if a < b]
+        digest = hashlib.sha256()
+        for k, (a, b) in enumerate(pieces):
+            digest.update(b" " if k else b"")
+            digest.update(joined[begins[a] : stops[b - 1]])
+        digests.append(digest.hexdigest())
         n_removed.append(sum(b - a for a, b in own))
         spans.append([{"first": a, "stop": b} for a, b in own])
-        kept.append(raw.decode() if texts else None)
-        digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        raw = None
+        if texts:
+            raw = whole[at[i] : at[i + 1]]
+            if own:
+                begin, parts = 0, []
+                for a, b in own:
+                    parts.append(raw[begin : starts[first[i] + a] - at[i]])
+                    begin = starts[first[i] + b] - at[i] if b < n_words[i] else len(raw)
+                raw = b"".join([*parts, raw[begin:]])
+            raw = raw.decode()
+        kept.append(raw)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
     return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
 
@@ -214,21 +247,28 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id
     names = [f.name for f in ADDED]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
     every = written(_runs(docs, doc_id, text, window, gram))
-    common = every.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select(F.col("m").bitwiseXOR(F.lit(-1)).alias("__m"))
-    runs = written(every.join(common, F.col("m").bitwiseXOR(F.lit(-1)) == F.col("__m"), "left_semi"))
+    turned = F.col("m").bitwiseXOR(F.lit(-1))
+    common = every.groupBy("m").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select(turned.alias("__m"))
+    runs = written(every.join(common, turned == F.col("__m"), "left_semi"))
     base = docs.select(*kept, *[c for c in (doc_id, text) if c not in kept])
     # Rows of one id may have different texts.
-    dealt = base.withColumn("__t", F.xxhash64(text)).repartition(partitions(docs.sparkSession), doc_id, "__t")
-    same = (F.col(doc_id) == F.col("d")) & (F.col("__t") == F.col("__of"))
-    kinds = runs.groupBy("m", "r").agg(F.min("d").alias("d"))
-    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m")
-    stand = runs.join(kinds.join(several, "m", "left_semi"), ["m", "r", "d"]).groupBy("d", F.col("t").alias("__of")).agg(F.collect_set(F.struct("p", "n")).alias("__at"))
+    known = base.where(F.col(doc_id).isNotNull()).withColumn("__t", F.xxhash64(text)).withColumn("__key", key_of(doc_id, "__t"))
+    kinds = runs.groupBy("m", "r", "c").agg(F.min("d").alias("d"))
+    several = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(turned.alias("__m"))
+    first = kinds.join(several, turned == F.col("__m"), "left_semi")
+    stand = runs.join(first, ["m", "r", "c", "d"]).groupBy("d", "t").agg(F.collect_set(F.struct("p", "n")).alias("__at"))
     # An outer join leaves the shuffle of the texts as it is below, so that it is used again.
-    single = _single(dealt.join(stand, same, "left").drop("d", "__of"), doc_id, text, window, gram)
-    gone = _later(runs, ["m", "r"]).select("d", "t", "p", "n").unionByName(_later(single, ["h", "h2"]).select("d", "t", "p", F.lit(1).alias("n")))
-    places = gone.groupBy("d", F.col("t").alias("__of")).agg(F.collect_list(F.struct("p", "n")).alias("__ps"))
-    marked = dealt.join(places, same, "left").drop("d", "__of")
-    return with_arrow(marked, ADDED, lambda batch: _cut(batch, text, window, texts), kept, text)
+    single = _single(_met(known, stand), doc_id, text, window, gram)
+    gone = _later(runs, ["m", "r", "c"]).select("d", "t", "p", "n").unionByName(_later(single, ["h", "c"]).select("d", "t", "p", F.lit(1).alias("n")))
+    places = gone.groupBy("d", "t").agg(F.collect_list(F.struct("p", "n")).alias("__ps"))
+    marked = _met(known, places).drop("__t")
+    unknown = base.where(F.col(doc_id).isNull()).withColumn("__ps", F.lit(None).cast(marked.schema["__ps"].dataType))
+    return with_arrow(marked.unionByName(unknown), ADDED, lambda batch: _cut(batch, text, window, texts), kept, text)
+
+
+def _met(known: DataFrame, lists: DataFrame) -> DataFrame:
+    """The documents with their row, if any, of lists (d, t, ...)."""
+    return known.join(apart(lists, ["d", "t"], "__of"), F.col("__key") == F.col("__of"), "left").drop("__of", "__key")
 
 
 def shortened(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
