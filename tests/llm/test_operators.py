@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from walkgraph.llm import chat, common, decontaminate, ordering, packing, quality, sharding, simhash, substrings, tokens, urls
+from walkgraph.llm import chat, common, decontaminate, encoding, ordering, packing, quality, sharding, simhash, substrings, tokens, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -274,40 +274,82 @@ def test_sharding(spark, docs):
     assert sharding.locate(len(order) - 1, len(order)) == next((r["shard"], r["slot"]) for r in out if r["doc_id"] == 300 and (r["shard"], r["slot"]) == sharding.locate(len(order) - 1, len(order)))
 
 
-def test_ordering_round_trip(spark, docs, tmp_path):
-    out = ordering.records(docs, length=64, per_shard=10)
-    path = str(tmp_path / "records")
-    ordering.write(out, path)
-    found = ordering.resume(spark, path, 0, 10).collect()
-    assert [r["slot"] for r in found] == list(range(len(found)))
-    texts = {}
-    for r in found:
-        assert len(r["record"]) == 64 and r["shard"] == r["slot"] // 10 and r["offset"] == r["slot"] % 10 * 64
-        assert bytes(r["record"])[r["n_tokens"] :] == b"\xff" * (64 - r["n_tokens"])
-        texts.setdefault((r["doc_id"], r["part"]), []).append(bytes(r["record"])[: r["n_tokens"]])
-    whole = sorted(b for (d, p), v in texts.items() if d is not None and d != 7 and d != 300 for b in v if b.endswith(b"\xfe"))
-    assert len(whole) == sum(1 for a, _ in pairs() if a is not None and a not in (7, 300))
-    one = b"".join(texts[205, p][0] for p in range(sum(d == 205 for d, _ in texts)))
-    assert one == dict(pairs())[205].encode() + b"\xfe"
-    assert len(found) == sum(len((b or "").encode()) // 64 + 1 for _, b in pairs())
-    tail = ordering.resume(spark, path, 25, 10).collect()
-    assert tail == found[25:]
-    assert ordering.records(empty(spark)).count() == 0
-
-
-def test_ordering_with_ranks(spark, docs):
+def ranks():
     P = pytest.importorskip("public_tokenizers")
-    import numpy as np
-    import tiktoken  # noqa: F401
+    return encoding.Ranks(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def own_ids(text):
+    """By the library alone."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    if not hasattr(own_ids, "found"):
+        with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own_ids.found = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
+    return own_ids.found.encode_ordinary(text or "")
+
 
-    ids = ordering.Ranks(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    out = ordering.records(docs.where("doc_id = 205"), ids, length=128).orderBy("part").collect()
-    joined = np.concatenate([np.frombuffer(bytes(r["record"]), "<u2")[: r["n_tokens"]] for r in out])
-    assert joined[-1] == ids.end == 50256
+def test_ids_are_the_library_s():
     import pyarrow as pa
 
-    ids.encode(pa.array([""]))
-    assert ids._encoding.decode(joined[:-1].tolist()) == dict(pairs())[205]
+    rng = random.Random(4)
+    marks = [" ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u3000", "a", "'s", "'", "don't", "12", "3.5", "é", "日本", "😀", "_-", "<|endoftext|>", "\x00", "word", "Word,"]
+    texts = [None, "", " ", "  ", " a", "a ", "\n a", "a \n b", "a \n\n b"] + ["".join(rng.choices(marks, k=rng.randint(1, 30))) for _ in range(4000)]
+    found = ranks().encode(pa.array(texts))
+    assert [list(map(int, __import__("numpy").frombuffer(x, "<u2"))) for x in found] == [own_ids(t) for t in texts]
+
+
+def test_ordering_is_read_with_seeks(spark, docs, tmp_path):
+    """Every record by a seek to its offset in a plain file; slots by the permutation of a number made here."""
+    import json
+
+    import numpy as np
+
+    length, per_shard, path = 16, 10, tmp_path / "shards"
+    out = ordering.materialise(docs, str(path), ranks(), length=length, per_shard=per_shard).collect()
+    held = json.loads((path / "manifest.json").read_text())
+    assert held["total"] == len(out) and sorted(r["slot"] for r in out) == list(range(len(out)))
+    files = sorted(p.name for p in path.iterdir() if p.name.endswith(".bin"))
+    assert files == [ordering.shard_name(k) for k in range(-(-len(out) // per_shard))]
+    assert not [p for p in path.iterdir() if p.name.startswith(".shard")]
+    texts = {}
+    for r in out:
+        with open(path / ordering.shard_name(r["slot"] // per_shard), "rb") as f:
+            f.seek(r["slot"] % per_shard * 2 * length)
+            data = f.read(2 * length)
+        assert r["offset"] == r["slot"] % per_shard * 2 * length and zlib.crc32(data) == r["crc32"] and len(data) == 2 * length
+        ids = np.frombuffer(data, "<u2").tolist()
+        assert ids[r["n_tokens"] :] == [65535] * (length - r["n_tokens"])
+        texts.setdefault(r["doc_id"], []).append((r["part"], ids[: r["n_tokens"]]))
+    want = {}
+    for a, b in pairs():
+        ids = [*own_ids(b), 50256]
+        want.setdefault(a, []).extend((k // length, ids[k : k + length]) for k in range(0, len(ids), length))
+    assert {k: sorted(v) for k, v in texts.items()} == {k: sorted(v) for k, v in want.items()}
+    # Unique ids of short texts are numbered by id, so their slots can be made from counts alone.
+    sizes = sorted((a is not None, a or 0, (len(own_ids(b)) + 1 - 1) // length + 1) for a, b in pairs())
+    before = {}
+    at = 0
+    for known, a, parts in sizes:
+        before.setdefault(a if known else None, at)
+        at += parts
+    for r in out:
+        if r["doc_id"] not in (None, 7, 300):
+            assert r["slot"] == int(common.permuted(np.array([before[r["doc_id"]] + r["part"]]), len(out), ordering.KEY)[0])
+    whole = [x.tolist() for x in ordering.resume(str(path))]
+    assert len(whole) == len(out) and [x.tolist() for x in ordering.resume(str(path), 25)] == whole[25:]
+
+
+def test_ordering_of_nothing_and_of_equal_rows(spark, tmp_path):
+    none = ordering.materialise(empty(spark), str(tmp_path / "none"), ranks())
+    assert none.count() == 0 and list(ordering.resume(str(tmp_path / "none"))) == []
+    same = spark.createDataFrame([(None, "", "mine")] * 50 + [(1, "a b", "mine")] * 50, "doc_id long, text string, slot string")
+    out = ordering.materialise(same, str(tmp_path / "same"), ranks(), length=4, per_shard=7).collect()
+    assert sorted(r["slot"] for r in out) == list(range(100)) and {r["n_tokens"] for r in out} == {1, 3}
 
 
 # 7
@@ -353,6 +395,26 @@ def test_packing(spark, docs):
     assert packing.pack(docs, length="n_chars").agg(F.sum("length")).first()[0] == sum(x[4] or 0 for x in corpus())
 
 
+def test_packing_of_ids(spark, docs):
+    """Each document's sequences hold its ids, whole and in order, and no batch is over the budget."""
+    import numpy as np
+
+    found = packing.pack(docs.withColumn("token_ids", F.lit("mine")), ids=ranks(), max_length=32, buckets=3, budget=128).collect()
+    by_doc, by_batch = {}, {}
+    for r in found:
+        ids = np.frombuffer(bytes(r["token_ids"]), "<u2").tolist()
+        assert len(ids) == r["length"] <= r["bucket_length"] and r["start"] == 32 * r["piece"]
+        by_doc.setdefault(r["doc_id"], []).append((r["piece"], ids))
+        by_batch.setdefault((r["bucket"], r["batch"]), []).append(r)
+    want = {}
+    for a, b in pairs():
+        ids = own_ids(b)
+        want.setdefault(a, []).extend((k // 32, ids[k : k + 32]) for k in range(0, max(len(ids), 1), 32))
+    assert {k: sorted(v) for k, v in by_doc.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(len(own) * max(own[0]["bucket_length"], 1) <= 128 and sorted(r["slot"] for r in own) == list(range(len(own))) for own in by_batch.values())
+    assert packing.pack(empty(spark), ids=ranks()).count() == 0
+
+
 # 8
 
 

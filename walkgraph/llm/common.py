@@ -249,27 +249,41 @@ def permuted(index: np.ndarray, count: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def numbered(df: DataFrame, order: list[str], name: str, group: str | None = None, weight: str | None = None) -> tuple[DataFrame, int]:
+def ranged(df: DataFrame, order: list[str], weight: str) -> tuple[DataFrame, dict[int, int], int]:
+    """The rows in the order of `order`, as partitions that are ranges, kept in the shared folder, with `__pid`.
+
+    And the sum of `weight` before each of these partitions, and of all. Rows that are equal in
+    `order` are parted by their places, so that a range may begin among them. One number for each
+    partition comes to the driver."""
+    dealt = _dealt(df, order)
+    rows = checkpointed(dealt).withColumn("__pid", F.spark_partition_id())
+    starts, total = {}, 0
+    for r in rows.groupBy("__pid").agg(F.sum(weight).alias("n")).orderBy("__pid").collect():
+        starts[r["__pid"]] = total
+        total += r["n"]
+    return rows, starts, total
+
+
+def _dealt(df: DataFrame, order: list[str]) -> DataFrame:
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    keys = [*order, "__tie"]
+    return tied.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("__tie")
+
+
+def numbered(df: DataFrame, order: list[str], name: str, group: str | None = None) -> tuple[DataFrame, int]:
     """Adds `name`: the rows before this one in the order of `order`, from 0 and without gaps; and the count of all.
 
-    With group, numbers begin at 0 in each value of it, which leads the order. With weight, a
-    row counts as so many. Rows that are equal in `order` share their numbers out in any way.
-    The rows are dealt by ranges, kept in the shared folder, and counted by range; only these
-    counts, one for each range and each group in it, come to the driver. No group meets in one task."""
+    With group, numbers begin at 0 in each value of it, which leads the order. Rows that are
+    equal in `order` share their numbers out in any way. The rows are dealt by ranges, kept in the
+    shared folder, and counted by range; only these counts, one for each range and each group in
+    it, come to the driver. No group meets in one task."""
     spark = df.sparkSession
     keys = ([group] if group else []) + order
-    dealt = (
-        df.withColumn("__tie", F.monotonically_increasing_id())
-        .repartitionByRange(partitions(spark), *keys, "__tie")
-        .sortWithinPartitions(*keys, "__tie")
-        .drop("__tie")
-    )
-    rows = checkpointed(dealt).withColumn("__id", F.monotonically_increasing_id())
+    rows = checkpointed(_dealt(df, keys)).withColumn("__id", F.monotonically_increasing_id())
     rows = rows.withColumn("__pid", F.shiftright("__id", ROW_BITS).cast("int"))
     of = F.col(group).cast("string") if group else F.lit("").cast("string")
-    amount = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     counts = sorted(
-        rows.groupBy("__pid", of.alias("g")).agg(F.sum(amount).alias("n"), F.min("__id").alias("first")).collect(),
+        rows.groupBy("__pid", of.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first")).collect(),
         key=lambda r: r["first"],
     )
     before: dict[str | None, int] = {}
@@ -281,12 +295,6 @@ def numbered(df: DataFrame, order: list[str], name: str, group: str | None = Non
     joined = rows.withColumn("__grp", of).join(
         F.broadcast(starts), (F.col("__pid") == F.col("__p")) & F.col("__grp").eqNullSafe(F.col("__g"))
     )
-    if weight:
-        from pyspark.sql import Window as W
-
-        inside = F.sum(amount).over(W.partitionBy("__pid", "__grp").orderBy("__id").rowsBetween(W.unboundedPreceding, -1))
-        number = F.col("__before") + F.coalesce(inside, F.lit(0))
-    else:
-        number = F.col("__before") + F.col("__id") - F.col("__first")
+    number = F.col("__before") + F.col("__id") - F.col("__first")
     out = joined.withColumn(name, number).drop("__id", "__pid", "__grp", "__p", "__g", "__before", "__first")
     return out, sum(before.values())

@@ -1,136 +1,180 @@
-"""Token ids in training order, as fixed-stride binary records.
-
-Each document's tokens and an end token fill sequences of LENGTH ids; the last is padded. All
-sequences are numbered from 0 in the order of id and text hash; a keyed Feistel permutation with
-cycle walking sends each number to its global slot. Slots lie in shards of PER_SHARD records, so
-slot s is record s modulo PER_SHARD of shard s divided by PER_SHARD, at that many strides: a
-reader that has seen n sequences goes on at slot n by arithmetic. Rows are dealt to partitions
-by ranges of slots, known beforehand as slots have no gaps, and sorted in them.
-
-Without a rank file, ids are the bytes of the text, one byte each, with 254 for the end and 255
-for padding (neither is in any UTF-8 text). With one, ids are that vocabulary's in two bytes,
-little-endian, with its size for the end and 65535 for padding.
-
-Only the numbers of documents are sorted (id, hash, count of sequences); the texts are dealt
-once to meet them and once, as records, to their slots. A long document's sequences spread over
-all shards.
-
-Defined cases: a null or empty text is one sequence with the end token alone. Rows that are
-equal in id and text get sequences of their own. Null ids come first. No documents: no records.
+"""Token ids in training order, as binary shards of fixed stride.
+
+Each document's ids and an end id fill sequences of LENGTH ids; the last is padded. All sequences
+are numbered from 0 in the order of id and text hash; a keyed Feistel permutation with cycle
+walking sends each number to its global slot. Slots lie in shards of PER_SHARD sequences: slot s
+is sequence s modulo PER_SHARD of shard s divided by PER_SHARD, at that many strides of the
+shard's file. Sequences are dealt to tasks by ranges of slots that are cut at bounds of shards,
+so a shard is one file that one task writes from its beginning to its end. A reader that has seen
+n sequences goes on at slot n by arithmetic and one seek.
+
+Texts are encoded once, to a table of ids in the shared folder; from there on only ids move. A
+task writes a file under a name of its own and renames it when it is whole, so a task that runs
+again, or twice, leaves the same file. A folder without manifest.json isn't whole.
+
+Rows are numbered over ranges, with the row's place to part equal ones, so neither a hot id nor
+many equal rows meet in a task; a long document's sequences spread over all shards.
+
+Defined cases: a null or empty text is one sequence with the end id alone. Rows that are equal in
+id and text get sequences of their own. Null ids come first. No documents: no shards, a manifest
+with a total of 0. Other columns are left out.
 """
 
 from __future__ import annotations
 
-import base64
+import json
+import re
+import uuid
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from walkgraph.llm.common import flat, numbered, partitions, permuted, split, with_arrow
+from walkgraph.llm.common import partitions, permuted, ranged, written
+from walkgraph.llm.encoding import KIND, Ranks, with_ids
 
 LENGTH = 2048
 PER_SHARD = 1 << 14
 KEY = 0x0DDE5
+#: Sequences in an Arrow batch.
+BATCH = 1 << 10
 
 
-class Bytes:
-    """Bytes as ids."""
-
-    kind, end, padding = np.dtype(np.uint8), 254, 255
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return flat(texts)
-
-
-class Ranks:
-    """Ids of a vocabulary in a rank file; its content is what goes to the workers."""
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path or URI names, and the path in it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
-    kind, padding = np.dtype("<u2"), 65535
 
-    def __init__(self, file: str, pattern: str):
-        with open(file, "rb") as f:
-            self.content = f.read()
-        self.pattern, self.end, self._encoding = pattern, self.content.count(b"\n"), None
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        import tiktoken
 
-        if self._encoding is None:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.content.splitlines())}
-            self._encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        found = [np.array(self._encoding.encode_ordinary(t or ""), self.kind) for t in texts.to_pylist()]
-        return np.concatenate([np.zeros(0, self.kind), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_encoding": None}
-
-
-def records(docs: DataFrame, ids: Bytes | Ranks | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(slot, shard, offset, doc_id, part, n_tokens, record), in the order of slots within partitions that are ranges of slots."""
-    spark, ids = docs.sparkSession, ids or Bytes()
+def sequences(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """(slot, doc_id, part, n_tokens, record) in any order, and their count."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("__doc"), whole.alias("__text"))
-    if isinstance(ids, Bytes):
-        sized = rows.withColumn("__n", F.octet_length("__text").cast("long"))
-    else:
-        sized = with_arrow(rows, [T.StructField("__n", T.LongType())], lambda b: [pa.array(np.diff(ids.encode(b.column("__text"))[1]))], None, "__text")
-    sized = sized.select("__doc", "__text", F.xxhash64("__text").alias("__hash"), F.expr(f"__n div {length} + 1").alias("__parts"))
-    docs_of = sized.groupBy("__doc", "__hash", "__parts").agg(F.count(F.lit(1)).alias("__copies"))
-    docs_of = docs_of.withColumn("__weight", F.col("__parts") * F.col("__copies"))
-    firsts, total = numbered(docs_of, ["__doc", "__hash", "__parts"], "__begin", weight="__weight")
-    # A key without nulls, so that the join and the numbers of equal rows use the same shuffle.
-    known = F.coalesce(F.concat(F.lit("v"), F.col("__doc").cast("string")), F.lit("n"))
-    firsts = firsts.select(known.alias("__id"), "__hash", "__parts", "__begin")
-    met = rows.select(known.alias("__id"), F.xxhash64("__text").alias("__hash"), "__doc", "__text").join(firsts, ["__id", "__hash"])
-    same = W.partitionBy("__id", "__hash").orderBy(F.lit(0))
-    met = met.select("__doc", "__text", (F.col("__begin") + (F.row_number().over(same) - 1) * F.col("__parts")).alias("__begin"))
-    parts = partitions(spark)
-
-    def run(batches):
+    rows = docs.select(F.col(doc_id).alias("__doc"), whole.alias("__text"), F.xxhash64(whole).alias("__hash"))
+    rows = written(with_ids(rows, ids, ["__doc", "__hash"], "__text"))
+    rows, starts, total = ranged(rows.withColumn("__parts", F.expr(f"__n div {length} + 1")), ["__doc", "__hash"], "__parts")
+    end, padding = ids.end, ids.padding
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(number of the first sequence, document, first part, sizes, ids) of up to BATCH sequences of one document."""
+        begin = None
         for batch in batches:
-            for piece in split(batch, "__text"):
-                found, at = ids.encode(piece.column("__text"))
-                sizes = np.diff(at) + 1
-                many = -(-sizes // length)
-                start = np.concatenate([[0], np.cumsum(many)])
-                out = np.full(start[-1] * length, ids.padding, ids.kind)
-                for i in range(len(many)):
-                    a = start[i] * length
-                    out[a : a + sizes[i] - 1] = found[at[i] : at[i + 1]]
-                    out[a + sizes[i] - 1] = ids.end
-                part = np.arange(start[-1]) - np.repeat(start[:-1], many)
-                of = np.repeat(np.arange(len(many)), many)
-                slot = permuted(piece.column("__begin").to_numpy()[of] + part, total, key)
-                n = np.minimum(sizes[of] - part * length, length)
-                stride = length * ids.kind.itemsize
-                # Record batches of a few MB, whatever a document's length.
-                for lo in range(0, len(slot), 1 << 10):
-                    hi = min(lo + (1 << 10), len(slot))
-                    offsets = np.arange(hi - lo + 1, dtype=np.int32) * stride
-                    data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(out[lo * length : hi * length])])
-                    columns = [pa.array(slot[lo:hi]), piece.column("__doc").take(pa.array(of[lo:hi])), pa.array(part[lo:hi]), pa.array(n[lo:hi].astype(np.int32)), data]
-                    yield pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "part", "n_tokens", "record"])
-
+            doc, own, many, pids = batch.column("__doc").to_pylist(), batch.column("__ids"), batch.column("__parts").to_pylist(), batch.column("__pid").to_pylist()
+            for i, (parts, pid) in enumerate(zip(many, pids)):
+                if begin is None:
+                    begin = starts[pid]
+                found = np.frombuffer(own[i].as_buffer(), KIND)
+                for lo in range(0, parts, BATCH):
+                    n = min(BATCH, parts - lo)
+                    out = np.full(n * length, padding, KIND)
+                    some = found[lo * length : (lo + n) * length]
+                    out[: len(some)] = some
+                    if lo + n == parts:
+                        out[len(found) - lo * length] = end
+                    yield begin + lo, doc[i], lo, min(len(found) + 1 - lo * length, n * length), out
+                begin += parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for one in pieces(batches):
+            held.append(one)
+            n += len(one[4]) // length
+            if n >= BATCH:
+                yield _batch(held)
+                held, n = [], 0
+        if held:
+            yield _batch(held)
+
+    def _batch(held: list[tuple]) -> pa.RecordBatch:
+        firsts, docs_of, lows, tokens, data = zip(*held)
+        many = np.array([len(x) // length for x in data])
+        n, stride, of = int(many.sum()), length * KIND.itemsize, np.repeat(np.arange(len(many)), many)
+        inside = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
+        sizes = np.minimum(np.array(tokens)[of] - inside * length, length)
+        offsets = np.arange(n + 1, dtype=np.int32) * stride
+        records = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data))])
+        columns = [pa.array(permuted(np.array(firsts)[of] + inside, total, key)), pa.array(docs_of, kind).take(pa.array(of)), pa.array(np.array(lows)[of] + inside), pa.array(sizes.astype(np.int32)), records]
+        return pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "part", "n_tokens", "record"])
+
+    kind = to_arrow_type(docs.schema[doc_id].dataType)
     schema = T.StructType([
         T.StructField("slot", T.LongType()), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("part", T.LongType()),
         T.StructField("n_tokens", T.IntegerType()), T.StructField("record", T.BinaryType())])
-    made = met.mapInArrow(run, schema)
-    made = made.repartitionById(parts, F.expr(f"cast(slot * {parts} div {max(total, 1)} as int)")).sortWithinPartitions("slot")
-    stride = length * ids.kind.itemsize
-    return made.select(
-        "slot", F.expr(f"slot div {per_shard}").alias("shard"), (F.col("slot") % per_shard * stride).alias("offset"),
-        "doc_id", "part", "n_tokens", "record")
+    return rows.mapInArrow(run, schema), total
 
 
-def write(out: DataFrame, path: str) -> None:
-    """Each shard's records in a folder of their own, in the order of slots."""
-    out.write.partitionBy("shard").parquet(path)
+def materialise(docs: DataFrame, path: str, ids: Ranks, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the shards, an index and a manifest to a folder; the index: (slot, shard, offset, doc_id, part, n_tokens, crc32).
 
+    offset is the record's place in its shard's file, crc32 its checksum."""
+    made, total = sequences(docs, ids, length, key, doc_id, text)
+    shards = -(-total // per_shard)
+    tasks = max(1, min(shards, partitions(docs.sparkSession)))
+    stride = length * KIND.itemsize
+    dealt = made.withColumn("shard", F.expr(f"slot div {per_shard}"))
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(shards, 1)} as int)")).sortWithinPartitions("slot")
 
-def resume(spark: SparkSession, path: str, seen: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """The records from slot `seen` on, in order; earlier shards aren't opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= seen // per_shard) & (F.col("slot") >= seen)).orderBy("slot")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = filesystem(path)
+        now, out, temporary = None, None, None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                _replace(store, temporary, f"{at}/{shard_name(now)}")
+
+        for batch in batches:
+            slots, own = batch.column("slot").to_numpy(), batch.column("shard").to_numpy()
+            sums = []
+            for i, (shard, record) in enumerate(zip(own.tolist(), batch.column("record"))):
+                if shard != now:
+                    close()
+                    now, temporary = shard, f"{at}/.{shard_name(shard)}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(temporary)
+                data = record.as_buffer()
+                out.write(data)
+                sums.append(zlib.crc32(data))
+            columns = [batch.column("slot"), batch.column("shard"), pa.array(slots % per_shard * stride), *[batch.column(c) for c in ("doc_id", "part", "n_tokens")], pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"])
+        close()
+
+    store, at = filesystem(path)
+    store.create_dir(at)
+    kind = dealt.schema["doc_id"].dataType.simpleString()
+    index = dealt.mapInArrow(run, f"slot long, shard long, offset long, doc_id {kind}, part long, n_tokens int, crc32 long")
+    index.write.parquet(f"{path}/index")
+    with store.open_output_stream(f"{at}/manifest.json") as f:
+        f.write(json.dumps({"total": total, "length": length, "per_shard": per_shard, "type": KIND.str, "end": ids.end, "padding": ids.padding, "key": key}).encode())
+    return docs.sparkSession.read.schema(index.schema).parquet(f"{path}/index")
+
+
+def _replace(store: pafs.FileSystem, source: str, target: str) -> None:
+    try:
+        store.move(source, target)
+    except OSError:  # a file system that doesn't move over a file, which another attempt left
+        if store.get_file_info(target).type == pafs.FileType.NotFound:
+            raise
+        store.delete_file(target)
+        store.move(source, target)
+
+
+def resume(path: str, seen: int = 0) -> Iterator[np.ndarray]:
+    """The sequences from slot `seen` on, in order, each LENGTH ids: one seek, then reads in a row; earlier shards aren't opened."""
+    store, at = filesystem(path)
+    with store.open_input_stream(f"{at}/manifest.json") as f:
+        held = json.loads(f.read())
+    stride = held["length"] * np.dtype(held["type"]).itemsize
+    for shard in range(seen // held["per_shard"], -(-held["total"] // held["per_shard"])):
+        first = max(seen - shard * held["per_shard"], 0)
+        with store.open_input_file(f"{at}/{shard_name(shard)}") as f:
+            f.seek(first * stride)
+            while data := f.read(stride):
+                yield np.frombuffer(data, held["type"])

@@ -1,14 +1,16 @@
 """Packing: optimal length buckets, and batches of a token budget inside each.
 
-A document's tokens are its words between ASCII white space, or the numbers of a column that the
-caller names. A document of more than MAX_LENGTH tokens becomes several sequences of at most so
-many; none is cut off. The histogram of all sequences' lengths, at most MAX_LENGTH + 1 rows,
-comes to the driver, where dynamic programming chooses the BUCKETS upper bounds with the least
-padding in total. Each bucket's sequences, in the order of a hash, fill batches of
-BUDGET / bound sequences: a batch has at most BUDGET tokens with its padding, and only a
-bucket's last batch may have fewer sequences.
+A document's tokens are the ids of its text by a rank file; without one, its words between ASCII
+white space, or the numbers of a column that the caller names. A document of more than MAX_LENGTH
+tokens becomes several sequences of at most so many; none is cut off. The histogram of all
+sequences' lengths, at most MAX_LENGTH + 1 rows, comes to the driver, where dynamic programming
+chooses the BUCKETS upper bounds with the least padding in total. Each bucket's sequences, in the
+order of a hash, fill batches of BUDGET / bound sequences: a batch has at most BUDGET tokens with
+its padding, and only a bucket's last batch may have fewer sequences. With a rank file each
+sequence has its ids, two bytes each, little-endian.
 
-A bucket may hold any share of the rows: its sequences are numbered over ranges, not in a task.
+Texts are read once: their ids, or counts, are kept as a table in the shared folder. A bucket may
+hold any share of the rows: its sequences are numbered over ranges, not in a task.
 
 Defined cases: a document without tokens is one sequence of length 0. Documents of null ids and
 repeated rows are packed like others, in any order among themselves. No documents: no rows. A
@@ -21,13 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkgraph.llm.common import numbered
+from walkgraph.llm.common import numbered, written
+from walkgraph.llm.encoding import KIND, Ranks, with_ids
 
 MAX_LENGTH = 2048
 BUCKETS = 16
 BUDGET = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
-RESULT = ["piece", "start", "length", "bucket", "bucket_length", "batch", "slot"]
+RESULT = ["piece", "start", "length", "bucket", "bucket_length", "batch", "slot", "token_ids"]
 
 
 def bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -57,17 +60,25 @@ def bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     return out[::-1]
 
 
-def pack(docs: DataFrame, carry: list[str] | None = None, length: str | None = None, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each sequence: the carried columns (doc_id by default), piece, start and length (in tokens), bucket, bucket_length, batch and slot."""
+def pack(docs: DataFrame, carry: list[str] | None = None, length: str | None = None, ids: Ranks | None = None, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each sequence: the carried columns (doc_id by default), piece, start and length (in tokens), bucket, bucket_length, batch, slot, and token_ids if there is a rank file."""
     if budget < max_length:
         raise ValueError("a batch must have room for the longest sequence")
     kept = [c for c in ([doc_id] if carry is None else carry) if c not in RESULT]
-    n = F.coalesce(F.col(length).cast("long") if length else F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(*kept, F.col(doc_id).alias("__order"), n.alias("__n"))
+    if ids:
+        rows = with_ids(docs.withColumn("__order", F.col(doc_id)), ids, [*kept, "__order"], text)
+    else:
+        n = F.col(length).cast("long") if length else F.regexp_count(F.col(text), F.lit(WORD)).cast("long")
+        rows = docs.select(*kept, F.col(doc_id).alias("__order"), F.coalesce(n, F.lit(0).cast("long")).alias("__n"))
+    rows = written(rows)
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(__n - 1) div {max_length}"), F.lit(0).cast("long")))
-    rows = rows.select(*kept, "__order", "__n", F.explode(pieces).alias("piece"))
+    rows = rows.select("*", F.explode(pieces).alias("piece"))
     rows = rows.withColumn("start", F.col("piece") * max_length)
     rows = rows.withColumn("length", F.least(F.col("__n") - F.col("start"), F.lit(max_length))).drop("__n")
+    own = ["token_ids"] if ids else []
+    if ids:
+        size = KIND.itemsize
+        rows = rows.withColumn("token_ids", F.substring("__ids", (F.col("start") * size + 1).cast("int"), (F.col("length") * size).cast("int"))).drop("__ids")
     found = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most max_length + 1 rows
     tops = bounds(found, buckets)
     listed = F.array(*[F.lit(b).cast("long") for b in tops]) if tops else F.array(F.lit(max_length).cast("long"))
@@ -76,4 +87,4 @@ def pack(docs: DataFrame, carry: list[str] | None = None, length: str | None = N
     rows, _ = numbered(rows, ["__hash", "__order", "piece"], "__rank", "bucket")
     rows = rows.withColumn("bucket_length", F.element_at(listed, F.col("bucket") + 1))
     rows = rows.withColumn("__room", F.expr(f"{budget} div greatest(bucket_length, 1)"))
-    return rows.select(*kept, "piece", "start", "length", "bucket", "bucket_length", F.expr("__rank div __room").alias("batch"), (F.col("__rank") % F.col("__room")).alias("slot"))
+    return rows.select(*kept, "piece", "start", "length", "bucket", "bucket_length", F.expr("__rank div __room").alias("batch"), (F.col("__rank") % F.col("__room")).alias("slot"), *own)

@@ -8,9 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkgraph.llm import chat, decontaminate, ordering, packing, quality, sharding, simhash, substrings, tokens, urls
+from walkgraph.llm import chat, decontaminate, encoding, ordering, packing, quality, sharding, simhash, substrings, tokens, urls
+from walkgraph.llm.common import fresh_path
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
+
+
+def _ranks() -> encoding.Ranks:
+    return encoding.Ranks(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), ids=_ranks())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.records(_table(spark, sf_dir, "documents"))
+    return ordering.materialise(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), _ranks())
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
