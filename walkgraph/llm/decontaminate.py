@@ -177,9 +177,10 @@ JUDGED = ["n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
-    size = benchmark.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    # Equal rows would all be dealt to one block.
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = int(size) // BLOCK_BYTES + 1
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     dealt = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     return [rows.where(dealt == k) if n > 1 else rows for k in range(n)]
 
