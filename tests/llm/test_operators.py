@@ -113,16 +113,72 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), spark.createDataFrame([], "url string, label int")).count() == 0
 
 
-def test_url_model_on_held_out_hosts(spark):
-    """Hosts of every third word are left out of training."""
-    held = {w for words in (urls.BLOCKED_WORDS, urls.ALLOWED_WORDS) for w in words[::3]}
-    rows_ = [(u, y, any(w in u for w in held)) for u, y in urls.labelled()]
-    table = spark.createDataFrame([(u, y) for u, y, h in rows_ if not h], "url string, label int")
-    model = urls.train(table)
-    test = spark.createDataFrame([(u, y) for u, y, h in rows_ if h], "url string, label int")
-    test = test.select("label", urls.host_of("url").alias("host"), urls.path_of("url").alias("path"))
-    right = test.select(((urls.score(model) > 0).cast("int") == F.col("label")).alias("ok")).collect()
-    assert sum(r["ok"] for r in right) / len(right) >= 0.8
+def figures(rows_):
+    """Precision and recall of (label, score) rows."""
+    right = sum(y for y, z in rows_ if z > 0)
+    return right / max(sum(z > 0 for _, z in rows_), 1), right / max(sum(y for y, _ in rows_), 1)
+
+
+def test_url_model_on_held_out_words(spark):
+    """Precision and recall over five folds of the labelled words."""
+    words = [(w, 1) for w in urls.BLOCKED_WORDS] + [(w, 0) for w in urls.ALLOWED_WORDS]
+    found = []
+    for k in range(5):
+        held = {w for i, (w, _) in enumerate(words) if i % 5 == k}
+        inside = [(u, y) for u, y in urls.labelled() if not any(f".{w}." in u or f"/{w}." in u for w in held)]
+        model = urls.train(spark.createDataFrame(inside, "url string, label int"))
+        out = [(u, y) for u, y in urls.labelled() if (u, y) not in set(inside)]
+        assert out
+        test = spark.createDataFrame(out, "url string, label int").select("label", urls.host_of("url").alias("host"), urls.path_of("url").alias("path"))
+        found += [tuple(r) for r in test.select("label", urls.score(model)).collect()]
+    precision, recall = figures(found)
+    assert precision >= 0.65 and recall >= 0.6, (precision, recall)  # 0.70 and 0.67: many plain words of the table hold unwanted n-grams
+
+
+#: Unwanted hosts of the test tables; the labelled table has none of them.
+UNWANTED = ("adult-x", "casino-win", "ads-track", "free-bets", "spam-farm", "cheap-pills")
+
+
+def test_url_model_on_the_hosts_of_pages(spark, data):
+    """No host of pages is in the labelled table; the model, without rules, finds the unwanted ones among them."""
+    pages = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    hosts = {r["h"] for r in pages.select(urls.host_of("url").alias("h")).distinct().collect()}
+    assert not hosts & {urls_host for urls_host in (u.split("/")[2] for u, _ in urls.labelled())}
+    assert not any(w in u for w in UNWANTED for u, _ in urls.labelled())
+    out = urls.judge(pages, spark.createDataFrame(urls.labelled(), "url string, label int"), rules=[])
+    rows_ = [(int(any(w in r["host"] for w in UNWANTED)), r["score"]) for r in out.select("host", "score").collect()]
+    precision, recall = figures(rows_)
+    assert precision >= 0.9 and recall >= 0.6, (precision, recall)
+
+
+def test_url_scores_by_hand(spark):
+    """The score of each url as a sum of weights over n-grams cut here."""
+    import xxhash
+
+    names = [u for _, u in URLS] + ["https://x.org/" + "é😀a" * 50]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(names)], "page_id long, url string")
+    table = spark.createDataFrame(urls.labelled(), "url string, label int")
+    weights, constant = urls.train(table)
+    weights = [float(f"{w:.9g}") for w in weights]
+    for r in urls.judge(pages, table, rules=[]).collect():
+        s, found = f"^{r['host']}|{r['path']}$", set()
+        if r["host"] or r["path"]:
+            for n in urls.SIZES:
+                found |= {s[i : i + n] for i in range(max(len(s) - n + 1, 1))}
+        buckets = {xxhash.xxh64_intdigest(g.encode(), 42) for g in found}
+        total = constant + sum(weights[b] for b in {(h - (1 << 64) if h >> 63 else h) % urls.BUCKETS for h in buckets})
+        assert abs(r["score"] - total) < 1e-6
+
+
+def test_a_very_long_url(spark):
+    """A url of a megabyte takes time in proportion to its length."""
+    import time
+
+    long = "https://x.example.org/" + "abcdefghij" * 100_000
+    pages = spark.createDataFrame([(1, long), (2, "https://x.example.org/a")], "page_id long, url string")
+    began = time.time()
+    out = urls.judge(pages, spark.createDataFrame(urls.labelled(), "url string, label int")).collect()
+    assert len(out) == 2 and time.time() - began < 120
 
 
 # 3
@@ -446,13 +502,29 @@ def test_quality(spark, docs):
 
 def test_hosts_shrink(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "bad"
-    table = [(i, bad if i < 400 else good, "rotten") for i in range(404)] + [(500 + i, good, f"h{i % 20}") for i in range(400)] + [(1000, bad, "tiny"), (1002, good, "tiny")] + [(1001, good, None)]
+    noisy = good + " #" * 20
+    table = [(i, bad if i < 400 else good, "rotten") for i in range(404)] + [(500 + i, good, f"h{i % 20}") for i in range(400)]
+    table += [(1000, bad, "tiny"), (1002, good, "tiny"), (1001, good, None)]
+    table += [(2000 + i, noisy if i < 3 else good, "fine") for i in range(300)] + [(3000 + i, noisy if i < 30 else good, "mixed") for i in range(100)]
     docs = spark.createDataFrame([(a, t, "en", s, 0) for a, t, s in table], SCHEMA)
     hosts = {r["host"]: r for r in quality.host_rates(quality.measured(docs)).collect()}
-    assert hosts["rotten"]["rejected"] and not hosts["h1"]["rejected"] and not hosts["tiny"]["rejected"] and not hosts[None]["rejected"]
+    assert {h: hosts[h]["host_verdict"] for h in ("rotten", "tiny", "fine", "mixed")} == {"rotten": "reject", "tiny": "strict", "fine": "trust", "mixed": "strict"}
     assert hosts["tiny"]["shrunk_rate"] < hosts["tiny"]["rate"]
+    # By hand: the prior's mean and strength from the moments of the rates.
+    rates = [r["n_failed"] / r["n_docs"] for r in hosts.values()]
+    mean = sum(rates) / len(rates)
+    spread, inverse = mean * (1 - mean), sum(1 / r["n_docs"] for r in hosts.values()) / len(rates)
+    variance = sum((x - mean) ** 2 for x in rates) / (len(rates) - 1)
+    strength = max(spread / max((variance - spread * inverse) / (1 - inverse), spread * 1e-6) - 1, 0)
+    for r in hosts.values():
+        assert abs(r["shrunk_rate"] - (r["n_failed"] + strength * mean) / (r["n_docs"] + strength)) < 1e-9
     kept = {r["doc_id"] for r in quality.good(docs).collect()}
-    assert kept == {500 + i for i in range(400)} | {1001, 1002}
+    assert kept == {500 + i for i in range(400)} | {1001, 1002} | {2000 + i for i in range(300)} | {3000 + i for i in range(30, 100)}
+
+
+def test_host_verdicts_change_rows_of_the_test_tables(spark, data):
+    out = quality.judge(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet"), ["doc_id"])
+    assert out.where("not base_failed and not kept").count() > 0
 
 
 # 10

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from walkgraph.llm.common import with_arrow
 
+#: The rank file of production.
+RANKS = "byte_bpe_50k.tiktoken"
 MEMO = 200_000
 SHORT = 64
 KIND = np.dtype("<u2")
@@ -81,6 +83,12 @@ class Pieces(dict):
         return self._ids(first) + b"".join([self[x] for x in others])
 
 
+def public_ranks(name: str = RANKS) -> Ranks:
+    import public_tokenizers
+
+    return Ranks(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
 def with_ids(docs: DataFrame, ids: Ranks, carry: list[str], text: str = "text") -> DataFrame:
     """The columns `carry`, `__ids` (the text's ids as bytes) and `__n`, their count."""
 

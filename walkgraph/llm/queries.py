@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 from walkgraph.llm import chat, decontaminate, encoding, ordering, packing, quality, sharding, simhash, substrings, tokens, urls
 from walkgraph.llm.common import fresh_path
 
-TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
-
-
-def _ranks() -> encoding.Ranks:
-    return encoding.Ranks(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,16 +49,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), ids=_ranks())
+    return packing.pack(_table(spark, sf_dir, "documents"), ids=encoding.public_ranks())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_verdict")
 
 
 def op9_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.materialise(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), _ranks())
+    return ordering.materialise(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards"), encoding.public_ranks())
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,18 +121,19 @@ f AS (
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
          len([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])
            - len(list_distinct([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')])) AS n_dup_lines,
-         coalesce(n, 0) AS n_repeat_words
+         len([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')]) AS n_lines, coalesce(n, 0) AS n_repeat_words
   FROM d LEFT JOIN repeats USING (doc_id)),
-g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM g GROUP BY source),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines AS soft_failed FROM f),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM g GROUP BY source),
 m AS (SELECT avg(bad / n) AS m, var_samp(bad / n) AS v, avg(1 / n) AS r FROM h),
 s AS (
   SELECT m, CASE WHEN m * (1 - m) > 0 AND v IS NOT NULL
-    THEN greatest(m * (1 - m) / greatest((v - m * (1 - m) * r) / greatest(1 - r, 1e-9), m * (1 - m) * 1e-6) - 1, 0) ELSE 0 END AS k FROM m)
+    THEN greatest(m * (1 - m) / greatest((v - m * (1 - m) * r) / greatest(1 - r, 1e-9), m * (1 - m) * 1e-6) - 1, 0) ELSE 0 END AS k FROM m),
+v AS (SELECT source, CASE WHEN (bad + k * m) / (n + k) > 0.5 THEN 'reject' WHEN (bad + k * m) / (n + k) <= 0.02 THEN 'trust' ELSE 'strict' END AS host_verdict FROM h, s)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND (bad + k * m) / (n + k) <= 0.9 AS kept
-FROM g JOIN h ON g.source IS NOT DISTINCT FROM h.source, s
+       NOT base_failed AND (host_verdict = 'trust' OR (host_verdict = 'strict' AND NOT soft_failed)) AS kept, soft_failed, host_verdict
+FROM g JOIN v ON g.source IS NOT DISTINCT FROM v.source
 """
 
 
