@@ -12,8 +12,8 @@ whatever the data, become a constant of the scoring expression. No join, no shuf
 costs nothing.
 
 Defined cases: a null url or one without '://' has an empty host and path, no rule, and the
-verdict of the model's constant term, as do all urls without an n-gram. Repeated urls get equal
-verdicts. No labelled rows: all weights are zero and the verdict is allow. A column of pages
+verdict of the model's constant term, as do all urls without an n-gram. A very long url is scored
+whole, in time proportional to its length. Repeated urls get equal verdicts. No labelled rows: all weights are zero and the verdict is allow. A column of pages
 named as a result is replaced.
 """
 
@@ -29,8 +29,6 @@ from walkgraph.llm.common import checkpointed, without
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
 MAX_LABELLED = 512
-#: An n-gram in more than this share of the labelled urls tells nothing and gets no weight.
-COMMON = 0.2
 STEPS = 200
 RATE = 2.0
 DECAY = 0.0005
@@ -44,10 +42,25 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: The small labelled table: host words that mark unwanted sites, and plain ones, under varied paths.
-BLOCKED_WORDS = "adult-x adult-cams adultfun casino-win casino-royal megacasino free-bets best-bets bets-online spam-farm spam-links spamhub cheap-pills pills-shop cheap-meds ads-track adtrack track-ads xxx-tube poker-win free-casino cheap-bets".split()
-ALLOWED_WORDS = "library museum weather college garden recipes history science therapy network theatre station nation thunder heather western ontario tiontown thnews hesperia interior erosion notable restore stables readers another".split()
-FORMS = ["https://www.{}.example.org/en/{}", "http://{}.example.net/de/{}.html", "https://blog.{}.example.org/fr/{}?page=2", "https://m.{}.example.net/en/{}/"]
+#: The small labelled table: host words of unwanted sites, and plain ones, under varied paths.
+BLOCKED_WORDS = (
+    "royalcasino casinoroyale grandcasino casino-online vegas-casino bestcasino casinobonus winbig bigwin winnersclub slots-win jackpotwin "
+    "sportbets bets24 livebets betsonline top-bets freebet free-spins freecash freemovies-hd "
+    "adultcams adult-video adultdating adultfriend xxx-tube xxxvideos x-rated "
+    "pillstore dietpills pills-online bluepills cheapmeds cheap-viagra cheaprolex cheapwatches "
+    "adserver popads ads-click clickads ads-network adstracker tracker-ads trackpixel track-clicks "
+    "spamlist spam-mail spammer linkspam linkfarm farm-links contentfarm clickfarm"
+).split()
+ALLOWED_WORDS = (
+    "library museum weather college garden recipes history science therapy network theatre station nation thunder heather western ontario "
+    "interior erosion notable restore stables readers another kitchen bicycle letters painting orchard harvest village mountain river "
+    "teacher student hospital clinic bakery windows winter window betterhome alphabet tibet address roads reading trackfield trains "
+    "pillow spillway farmhouse farmers cheapest-flights freedom freelance freeway adulteducation"
+).split()
+FORMS = [
+    "https://www.{}.example.info/en/{}", "http://{}.example.edu/de/{}.html", "https://blog.{}.example.io/fr/{}?page=2", "https://m.{}.example.info/en/{}/",
+    "http://{}.example.io/es/{}#top", "https://www.{}.example.edu/item/{}?ref=x",
+]
 
 
 def labelled() -> list[tuple[str, int]]:
@@ -55,8 +68,8 @@ def labelled() -> list[tuple[str, int]]:
     out = []
     for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
         for k, word in enumerate(words):
-            for j in (k % len(FORMS), (k + 1) % len(FORMS)):
-                out.append((FORMS[j].format(word, 137 * (j + 2)), label))
+            for j in range(3):
+                out.append((FORMS[(k + j * 2 + label) % len(FORMS)].format(word, 137 * (j + 2) + 31 * k), label))
     return out
 
 
@@ -82,14 +95,18 @@ def ruled(rules: list[tuple[str, str, str]], host: str = "host", path: str = "pa
 
 def features(host: str, path: str) -> Column:
     """Buckets of the n-grams of host and path, each once."""
-    s = F.concat(F.lit("^"), F.col(host), F.lit("|"), F.col(path), F.lit("$"))
+    # An array of characters: one is found at once, where a place in a string is counted from its beginning.
+    s = F.split(F.concat(F.lit("^"), F.col(host), F.lit("|"), F.col(path), F.lit("$")), "")
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(s, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+    def grams(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        gram = lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(n)])
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(BUCKETS)).cast("int"))
 
     empty = (F.col(host) == "") & (F.col(path) == "")
-    return F.when(empty, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(*[grams(n) for n in SIZES])))
+    # transform() over an array of one binds the characters, which would else be cut anew for each place.
+    all_grams = F.transform(F.array(s), lambda chars: F.array_distinct(F.concat(*[grams(chars, n) for n in SIZES])))
+    return F.when(empty, F.array().cast("array<int>")).otherwise(all_grams[0])
 
 
 def train(table: DataFrame, url: str = "url", label: str = "label") -> tuple[list[float], float]:
@@ -100,11 +117,6 @@ def train(table: DataFrame, url: str = "url", label: str = "label") -> tuple[lis
     rows = table.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(F.col(url).alias("u"), (F.col(label) > 0).cast("double").alias("y")).distinct()
     rows = rows.orderBy(F.xxhash64("u"), "u", "y").limit(MAX_LABELLED).select(host_of("u").alias("h"), path_of("u").alias("p"), "y")
     rows = checkpointed(rows.select("y", features("h", "p").alias("f")))
-    many = rows.count() * COMMON
-    common = rows.select(F.explode("f").alias("j")).groupBy("j").count().where(F.col("count") > many)
-    listed = ",".join(str(r["j"]) for r in common.collect())  # at most BUCKETS
-    known = F.split(F.lit(listed), ",").cast("array<int>") if listed else F.array().cast("array<int>")
-    rows = rows.select("y", F.array_except("f", known).alias("f"))
     one = rows.select(F.struct("y", "f").alias("r")).agg(F.sort_array(F.collect_list("r")).alias("r"))
     gram = F.transform("r", lambda a: F.transform("r", lambda b: 1.0 + F.size(F.array_intersect(a["f"], b["f"]))))
     one = checkpointed(one.select("r", gram.alias("k")))  # else each step would make the matrix anew
