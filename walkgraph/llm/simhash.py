@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walkgraph.llm.common import checkpointed, lines_of_words, sheltered, space_table, with_arrow, without, words_in
+from walkgraph.llm.common import apart, checkpointed, key_of, lines_of_words, sheltered, space_table, with_arrow, without, words_in, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -90,8 +90,8 @@ def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between distinct values of `simhash` within RADIUS bits: all of these are joined by paths of links."""
     table = F.array(*[F.struct(F.lit(k).alias("t"), F.col("simhash").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks())])
     dealt = prints.select("simhash", F.inline(table).alias("t", "key"))
-    sizes = dealt.groupBy("t", "key").count().where("count > 1")
-    shared = dealt.join(sizes, ["t", "key"])
+    sizes = apart(dealt.groupBy("t", "key").count().where("count > 1"), ["t", "key"], "__of")
+    shared = dealt.join(sizes, key_of("t", "key") == F.col("__of")).drop("__of")
     near: Column = F.transform(
         "s", lambda x, i: F.transform(
             F.filter("s", lambda y, j: (j > i) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
@@ -117,10 +117,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A hub's neighbours are one key, which each join has to be free to split.
+        least = apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), ["u"], "__of")
+        large = both.where("v > u").join(least, key_of("u") == F.col("__of")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(apart(low, ["u"], "__of"), key_of("u") == F.col("__of"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         now = checkpointed(small.distinct())
 
@@ -131,8 +132,8 @@ def grouped(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     roots = components(links(least.select("simhash")))
     rooted = least.join(roots, least["simhash"] == roots["node"], "left").select(
         "simhash", F.coalesce("root", "simhash").alias("root"), "__least")
-    whole = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
-    return rooted.drop("__least").join(whole, "root")
+    whole = apart(rooted.groupBy("root").agg(F.min("__least").alias("component_id")), ["root"], "__of")
+    return rooted.drop("__least").join(whole, key_of("root") == F.col("__of")).drop("__of")
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,14 +148,16 @@ def near_duplicates(docs: DataFrame, carry: list[str] | None = None, doc_id: str
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, one of each group: of its least doc_id and, of rows that share this, one."""
-    members = checkpointed(with_fingerprint(docs, [doc_id], text))
+    """The documents, one of each group: of its least doc_id and, of rows that share this, one.
+
+    The documents are kept with their fingerprints, which are made once."""
+    inside, back = sheltered(docs, ["simhash"])
+    marked = written(with_fingerprint(inside, None, text))
+    members = marked.select(doc_id, "simhash")
     groups = grouped(members, doc_id)
     rows = members.groupBy(doc_id, "simhash").agg(F.count(F.lit(1)).alias("n")).join(groups, "simhash")
     best = rows.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(doc_id, "simhash", "n")).alias("s"))
     best = checkpointed(best.select(F.col(f"s.{doc_id}").alias("__id"), F.col("s.simhash").alias("__print"), F.col("s.n").alias("__n")))
-    inside, back = sheltered(docs, ["simhash"])
-    marked = with_fingerprint(inside, None, text)
     chosen = marked.join(best, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("simhash") == F.col("__print")))
     if best.where("__n > 1").isEmpty():
         return back(chosen)
