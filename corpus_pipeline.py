@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from walkgraph.llm import decontaminate, packing, quality, simhash, substrings
+from walkgraph.llm import decontaminate, encoding, packing, quality, simhash, substrings
 from walkgraph.llm.common import written
 
 
@@ -32,8 +32,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences in length buckets and batches."""
-    return packing.pack(docs)
+    """Sequences of token ids in length buckets and batches."""
+    return packing.pack(docs, ids=encoding.public_ranks())
 
 
 STAGES = [
