@@ -249,14 +249,18 @@ def permuted(index: np.ndarray, count: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def ranged(df: DataFrame, order: list[str], weight: str) -> tuple[DataFrame, dict[int, int], int]:
-    """The rows in the order of `order`, as partitions that are ranges, kept in the shared folder, with `__pid`.
-
-    And the sum of `weight` before each of these partitions, and of all. Rows that are equal in
-    `order` are parted by their places, so that a range may begin among them. One number for each
-    partition comes to the driver."""
-    dealt = _dealt(df, order)
-    rows = checkpointed(dealt).withColumn("__pid", F.spark_partition_id())
+def by_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in the order of `order`, in partitions that are ranges.
+
+    Rows that are equal in `order` are parted by their places, so that a range may begin among them."""
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    keys = [*order, "__tie"]
+    return tied.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("__tie")
+
+
+def summed(df: DataFrame, weight: str) -> tuple[DataFrame, dict[int, int], int]:
+    """The rows in their partitions, kept in the shared folder, with `__pid`; the sum of `weight` before each partition, and of all."""
+    rows = checkpointed(df).withColumn("__pid", F.spark_partition_id())
     starts, total = {}, 0
     for r in rows.groupBy("__pid").agg(F.sum(weight).alias("n")).orderBy("__pid").collect():
         starts[r["__pid"]] = total
@@ -264,12 +268,6 @@ def ranged(df: DataFrame, order: list[str], weight: str) -> tuple[DataFrame, dic
     return rows, starts, total
 
 
-def _dealt(df: DataFrame, order: list[str]) -> DataFrame:
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    keys = [*order, "__tie"]
-    return tied.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("__tie")
-
-
 def numbered(df: DataFrame, order: list[str], name: str, group: str | None = None) -> tuple[DataFrame, int]:
     """Adds `name`: the rows before this one in the order of `order`, from 0 and without gaps; and the count of all.
 
@@ -279,7 +277,7 @@ def numbered(df: DataFrame, order: list[str], name: str, group: str | None = Non
     it, come to the driver. No group meets in one task."""
     spark = df.sparkSession
     keys = ([group] if group else []) + order
-    rows = checkpointed(_dealt(df, keys)).withColumn("__id", F.monotonically_increasing_id())
+    rows = checkpointed(by_ranges(df, keys)).withColumn("__id", F.monotonically_increasing_id())
     rows = rows.withColumn("__pid", F.shiftright("__id", ROW_BITS).cast("int"))
     of = F.col(group).cast("string") if group else F.lit("").cast("string")
     counts = sorted(

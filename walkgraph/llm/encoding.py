@@ -1,17 +1,15 @@
 """Token ids of whole texts by a rank file, two bytes an id, little-endian.
 
-The rank file's pattern begins a pre-token at every space that other than white space follows,
-whatever stands before it. A text that has no other spaces is cut before each of them, and the
-pieces encode alone as they do in the text; any other text is encoded whole. Pieces of up to
-SHORT characters are remembered, up to MEMO of them for each worker. Texts are never cut short.
-Strings of special tokens are ordinary text.
+Texts are encoded whole by the library; strings of special tokens are ordinary text.
 
-Defined cases: a null or empty text has no ids. Repeated rows have equal ids."""
+Defined cases: a null or empty text has no ids. Repeated rows have equal ids. A very long text is
+encoded like any other, never in part."""
 
 from __future__ import annotations
 
 import base64
-import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +20,7 @@ from walkgraph.llm.common import with_arrow
 
 #: The rank file of production.
 RANKS = "byte_bpe_50k.tiktoken"
-MEMO = 200_000
-SHORT = 64
 KIND = np.dtype("<u2")
-LOOSE = re.compile(r" \s")
 
 
 class Ranks:
@@ -38,49 +33,26 @@ class Ranks:
     def __init__(self, file: str, pattern: str):
         with open(file, "rb") as f:
             self.content = f.read()
-        self.pattern, self.end, self._pieces = pattern, self.content.count(b"\n"), None
+        self.pattern, self.end, self._encode = pattern, self.content.count(b"\n"), None
         if self.end >= self.padding:
             raise ValueError("ids of this vocabulary don't fit in two bytes")
 
-    def pieces(self) -> Pieces:
-        if self._pieces is None:
-            self._pieces = Pieces(self)
-        return self._pieces
-
     def encode(self, texts: pa.Array) -> list[bytes]:
-        pieces = self.pieces()
-        return [pieces.whole(t) if t else b"" for t in texts.to_pylist()]
-
-    def __getstate__(self):
-        return self.__dict__ | {"_pieces": None}
-
+        if self._encode is None:
+            import tiktoken
 
-class Pieces(dict):
-    """What follows a space, up to the next -> ids of both."""
-
-    def __init__(self, ranks: Ranks):
-        super().__init__()
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.content.splitlines())}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=ranks.pattern, mergeable_ranks=table, special_tokens={})
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._ids(" " + piece)
-        if len(piece) <= SHORT:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
-        return ids
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.content.splitlines())}
+            self._encode = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        return [self._ids(t) if t else b"" for t in texts.to_pylist()]
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), KIND).tobytes()
+        ids = array("H", self._encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def whole(self, text: str) -> bytes:
-        if text.endswith(" ") or LOOSE.search(text):
-            return self._ids(text)
-        first, *others = text.split(" ")
-        return self._ids(first) + b"".join([self[x] for x in others])
+    def __getstate__(self):
+        return self.__dict__ | {"_encode": None}
 
 
 def public_ranks(name: str = RANKS) -> Ranks:

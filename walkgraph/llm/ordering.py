@@ -1,23 +1,25 @@
 """Token ids in training order, as binary shards of fixed stride.
 
-Each document's ids and an end id fill sequences of LENGTH ids; the last is padded. All sequences
-are numbered from 0 in the order of id and text hash; a keyed Feistel permutation with cycle
-walking sends each number to its global slot. Slots lie in shards of PER_SHARD sequences: slot s
-is sequence s modulo PER_SHARD of shard s divided by PER_SHARD, at that many strides of the
-shard's file. Sequences are dealt to tasks by ranges of slots that are cut at bounds of shards,
-so a shard is one file that one task writes from its beginning to its end. A reader that has seen
-n sequences goes on at slot n by arithmetic and one seek.
-
-Texts are encoded once, to a table of ids in the shared folder; from there on only ids move. A
-task writes a file under a name of its own and renames it when it is whole, so a task that runs
+The ids of all documents, in the order of id and text hash, each with an end id behind it, are one
+stream, which is cut into sequences of LENGTH ids; only the last sequence is padded. A keyed
+Feistel permutation with cycle walking sends each sequence's number to its global slot. Slots lie
+in shards of PER_SHARD sequences: slot s is sequence s modulo PER_SHARD of shard s divided by
+PER_SHARD, at that many strides of the shard's file. What a document has of each sequence is dealt
+to tasks by ranges of slots that are cut at bounds of shards, so a shard is one file that one task
+writes from its beginning to its end. A reader that has seen n sequences goes on at slot n by
+arithmetic and one seek.
+
+Documents are dealt by ranges, encoded once and kept in the shared folder; a document's place in
+the stream follows from the counts of ids of the ranges before, one number each, and of the rows
+before it in its range. Rows that are equal in id and text are parted by their places, so neither
+a hot id nor many equal rows meet in a task; a long document's sequences spread over all shards.
+
+A task writes a file under a name of its own and renames it when it is whole, so a task that runs
 again, or twice, leaves the same file. A folder without manifest.json isn't whole.
 
-Rows are numbered over ranges, with the row's place to part equal ones, so neither a hot id nor
-many equal rows meet in a task; a long document's sequences spread over all shards.
-
-Defined cases: a null or empty text is one sequence with the end id alone. Rows that are equal in
-id and text get sequences of their own. Null ids come first. No documents: no shards, a manifest
-with a total of 0. Other columns are left out.
+Defined cases: a null or empty text is an end id alone. Rows that are equal in id and text are
+each in the stream. Null ids come first. No documents: no shards, a manifest with a total of 0.
+Other columns are left out.
 """
 
 from __future__ import annotations
@@ -34,15 +36,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from walkgraph.llm.common import partitions, permuted, ranged, written
+from walkgraph.llm.common import by_ranges, partitions, permuted, split, summed
 from walkgraph.llm.encoding import KIND, Ranks, with_ids
 
 LENGTH = 2048
 PER_SHARD = 1 << 14
 KEY = 0x0DDE5
-#: Sequences in an Arrow batch.
+#: Pieces in an Arrow batch.
 BATCH = 1 << 10
 
 
@@ -55,103 +56,91 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def sequences(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """(slot, doc_id, part, n_tokens, record) in any order, and their count."""
+def pieces(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """(slot, at, doc_id, part, n_tokens, ids): what a document has of a sequence, from its place `at`; and the count of sequences."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("__doc"), whole.alias("__text"), F.xxhash64(whole).alias("__hash"))
-    rows = written(with_ids(rows, ids, ["__doc", "__hash"], "__text"))
-    rows, starts, total = ranged(rows.withColumn("__parts", F.expr(f"__n div {length} + 1")), ["__doc", "__hash"], "__parts")
-    end, padding = ids.end, ids.padding
+    dealt = with_ids(by_ranges(rows, ["__doc", "__hash"]), ids, ["__doc"], "__text")
+    rows, starts, tokens = summed(dealt.withColumn("__n", F.col("__n") + 1), "__n")
+    total, end = -(-tokens // length), np.array([ids.end], KIND).tobytes()
+    size = KIND.itemsize
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(number of the first sequence, document, first part, sizes, ids) of up to BATCH sequences of one document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = None
-        for batch in batches:
-            doc, own, many, pids = batch.column("__doc").to_pylist(), batch.column("__ids"), batch.column("__parts").to_pylist(), batch.column("__pid").to_pylist()
-            for i, (parts, pid) in enumerate(zip(many, pids)):
+        for whole_batch in batches:
+            for batch in split(whole_batch, "__ids"):
+                n = batch.column("__n").to_numpy()
                 if begin is None:
-                    begin = starts[pid]
-                found = np.frombuffer(own[i].as_buffer(), KIND)
-                for lo in range(0, parts, BATCH):
-                    n = min(BATCH, parts - lo)
-                    out = np.full(n * length, padding, KIND)
-                    some = found[lo * length : (lo + n) * length]
-                    out[: len(some)] = some
-                    if lo + n == parts:
-                        out[len(found) - lo * length] = end
-                    yield begin + lo, doc[i], lo, min(len(found) + 1 - lo * length, n * length), out
-                begin += parts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for one in pieces(batches):
-            held.append(one)
-            n += len(one[4]) // length
-            if n >= BATCH:
-                yield _batch(held)
-                held, n = [], 0
-        if held:
-            yield _batch(held)
-
-    def _batch(held: list[tuple]) -> pa.RecordBatch:
-        firsts, docs_of, lows, tokens, data = zip(*held)
-        many = np.array([len(x) // length for x in data])
-        n, stride, of = int(many.sum()), length * KIND.itemsize, np.repeat(np.arange(len(many)), many)
-        inside = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
-        sizes = np.minimum(np.array(tokens)[of] - inside * length, length)
-        offsets = np.arange(n + 1, dtype=np.int32) * stride
-        records = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(data))])
-        columns = [pa.array(permuted(np.array(firsts)[of] + inside, total, key)), pa.array(docs_of, kind).take(pa.array(of)), pa.array(np.array(lows)[of] + inside), pa.array(sizes.astype(np.int32)), records]
-        return pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "part", "n_tokens", "record"])
-
-    kind = to_arrow_type(docs.schema[doc_id].dataType)
-    schema = T.StructType([
-        T.StructField("slot", T.LongType()), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("part", T.LongType()),
-        T.StructField("n_tokens", T.IntegerType()), T.StructField("record", T.BinaryType())])
-    return rows.mapInArrow(run, schema), total
+                    begin = starts[batch.column("__pid")[0].as_py()]
+                first = begin + np.cumsum(n) - n  # places in the stream
+                begin += int(n.sum())
+                # A document's pieces: one for each sequence that it has ids of.
+                many = (first + n - 1) // length - first // length + 1
+                of = np.repeat(np.arange(len(n)), many)
+                part = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                sequence = first[of] // length + part
+                lo = np.maximum(sequence * length, first[of])
+                hi = np.minimum((sequence + 1) * length, first[of] + n[of])
+                data = [x.as_py() + end for x in batch.column("__ids")]
+                cut = [data[i][size * a : size * b] for i, a, b in zip(of.tolist(), (lo - first[of]).tolist(), (hi - first[of]).tolist())]
+                columns = [pa.array(permuted(sequence, total, key)), pa.array((lo - sequence * length).astype(np.int32)), batch.column("__doc").take(pa.array(of)), pa.array(part), pa.array((hi - lo).astype(np.int32)), pa.array(cut, pa.binary())]
+                whole_out = pa.RecordBatch.from_arrays(columns, names)
+                for k in range(0, len(of), BATCH):
+                    yield whole_out.slice(k, BATCH)
+
+    fields = [("slot", T.LongType()), ("at", T.IntegerType()), ("doc_id", docs.schema[doc_id].dataType), ("part", T.LongType()), ("n_tokens", T.IntegerType()), ("ids", T.BinaryType())]
+    names = [f for f, _ in fields]
+    return rows.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields])), total
 
 
 def materialise(docs: DataFrame, path: str, ids: Ranks, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the shards, an index and a manifest to a folder; the index: (slot, shard, offset, doc_id, part, n_tokens, crc32).
 
-    offset is the record's place in its shard's file, crc32 its checksum."""
-    made, total = sequences(docs, ids, length, key, doc_id, text)
+    A row for each piece of a document in a sequence: n_tokens ids from `offset` on in the shard's file, with their checksum."""
+    made, total = pieces(docs, ids, length, key, doc_id, text)
     shards = -(-total // per_shard)
     tasks = max(1, min(shards, partitions(docs.sparkSession)))
     stride = length * KIND.itemsize
     dealt = made.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(shards, 1)} as int)")).sortWithinPartitions("slot")
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(shards, 1)} as int)")).sortWithinPartitions("slot", "at")
+    padding = np.array([ids.padding], KIND).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = filesystem(path)
-        now, out, temporary = None, None, None
+        store, root = filesystem(path)
+        now, out, temporary, written_to = None, None, None, 0
 
         def close() -> None:
             if out is not None:
+                out.write(padding * (-written_to % stride // KIND.itemsize))
                 out.close()
-                _replace(store, temporary, f"{at}/{shard_name(now)}")
+                _replace(store, temporary, f"{root}/{shard_name(now)}")
 
         for batch in batches:
-            slots, own = batch.column("slot").to_numpy(), batch.column("shard").to_numpy()
-            sums = []
-            for i, (shard, record) in enumerate(zip(own.tolist(), batch.column("record"))):
+            own, sums = batch.column("shard").to_pylist(), []
+            offset = batch.column("slot").to_numpy() % per_shard * stride + batch.column("at").to_numpy() * KIND.itemsize
+            for shard, place, piece in zip(own, offset.tolist(), batch.column("ids")):
                 if shard != now:
                     close()
-                    now, temporary = shard, f"{at}/.{shard_name(shard)}.{uuid.uuid4().hex}"
+                    now, written_to, temporary = shard, 0, f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
-                data = record.as_buffer()
+                data = piece.as_buffer()
+                if gap := place - written_to:  # behind the stream's last sequence
+                    if gap < 0 or gap >= stride:
+                        raise RuntimeError(f"shard {shard} lacks ids before {place}")
+                    out.write(padding * (gap // KIND.itemsize))
                 out.write(data)
+                written_to = place + len(data)
                 sums.append(zlib.crc32(data))
-            columns = [batch.column("slot"), batch.column("shard"), pa.array(slots % per_shard * stride), *[batch.column(c) for c in ("doc_id", "part", "n_tokens")], pa.array(sums, pa.int64())]
+            columns = [batch.column("slot"), batch.column("shard"), pa.array(offset), *[batch.column(c) for c in ("doc_id", "part", "n_tokens")], pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"])
         close()
 
-    store, at = filesystem(path)
-    store.create_dir(at)
+    store, root = filesystem(path)
+    store.create_dir(root)
     kind = dealt.schema["doc_id"].dataType.simpleString()
     index = dealt.mapInArrow(run, f"slot long, shard long, offset long, doc_id {kind}, part long, n_tokens int, crc32 long")
     index.write.parquet(f"{path}/index")
-    with store.open_output_stream(f"{at}/manifest.json") as f:
+    with store.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"total": total, "length": length, "per_shard": per_shard, "type": KIND.str, "end": ids.end, "padding": ids.padding, "key": key}).encode())
     return docs.sparkSession.read.schema(index.schema).parquet(f"{path}/index")
 
