@@ -70,21 +70,22 @@ def pack(docs: DataFrame, carry: list[str] | None = None, length: str | None = N
     else:
         n = F.col(length).cast("long") if length else F.regexp_count(F.col(text), F.lit(WORD)).cast("long")
         rows = docs.select(*kept, F.col(doc_id).alias("__order"), F.coalesce(n, F.lit(0).cast("long")).alias("__n"))
-    rows = written(rows)
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(__n - 1) div {max_length}"), F.lit(0).cast("long")))
-    rows = rows.select("*", F.explode(pieces).alias("piece"))
-    rows = rows.withColumn("start", F.col("piece") * max_length)
-    rows = rows.withColumn("length", F.least(F.col("__n") - F.col("start"), F.lit(max_length))).drop("__n")
-    own = ["token_ids"] if ids else []
-    if ids:
-        size = KIND.itemsize
-        rows = rows.withColumn("token_ids", F.substring("__ids", (F.col("start") * size + 1).cast("int"), (F.col("length") * size).cast("int"))).drop("__ids")
-    found = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most max_length + 1 rows
+    made = rows.select(*kept, "__order", "__row", "__n", F.explode(pieces).alias("piece"))
+    made = made.withColumn("start", F.col("piece") * max_length)
+    made = made.withColumn("length", F.least(F.col("__n") - F.col("start"), F.lit(max_length))).drop("__n")
+    found = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most max_length + 1 rows
     tops = bounds(found, buckets)
     listed = F.array(*[F.lit(b).cast("long") for b in tops]) if tops else F.array(F.lit(max_length).cast("long"))
-    rows = rows.withColumn("bucket", F.size(F.filter(listed, lambda b: b < F.col("length"))))
-    rows = rows.withColumn("__hash", F.xxhash64("__order", "piece"))
-    rows, _ = numbered(rows, ["__hash", "__order", "piece"], "__rank", "bucket")
-    rows = rows.withColumn("bucket_length", F.element_at(listed, F.col("bucket") + 1))
-    rows = rows.withColumn("__room", F.expr(f"{budget} div greatest(bucket_length, 1)"))
-    return rows.select(*kept, "piece", "start", "length", "bucket", "bucket_length", F.expr("__rank div __room").alias("batch"), (F.col("__rank") % F.col("__room")).alias("slot"), *own)
+    made = made.withColumn("bucket", F.size(F.filter(listed, lambda b: b < F.col("length"))))
+    made = made.withColumn("__hash", F.xxhash64("__order", "piece"))
+    made, _ = numbered(made, ["__hash", "__order", "piece"], "__rank", "bucket")
+    made = made.withColumn("bucket_length", F.element_at(listed, F.col("bucket") + 1))
+    made = made.withColumn("__room", F.expr(f"{budget} div greatest(bucket_length, 1)"))
+    places = [*kept, "piece", "start", "length", "bucket", "bucket_length", F.expr("__rank div __room").alias("batch"), (F.col("__rank") % F.col("__room")).alias("slot")]
+    if ids is None:
+        return made.select(*places)
+    # The numbers meet the ids once they are known; a row's number is its own, so no key is hot.
+    cut = F.substring("__ids", (F.col("start") * KIND.itemsize + 1).cast("int"), (F.col("length") * KIND.itemsize).cast("int"))
+    return made.join(rows.select("__row", "__ids"), "__row").select(*places, cut.alias("token_ids"))

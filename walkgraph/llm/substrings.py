@@ -261,8 +261,8 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id
     single = _single(_met(known, stand), doc_id, text, window, gram)
     gone = _later(runs, ["m", "r", "c"]).select("d", "t", "p", "n").unionByName(_later(single, ["h", "c"]).select("d", "t", "p", F.lit(1).alias("n")))
     places = gone.groupBy("d", "t").agg(F.collect_list(F.struct("p", "n")).alias("__ps"))
-    marked = _met(known, places).drop("__t")
-    unknown = base.where(F.col(doc_id).isNull()).withColumn("__ps", F.lit(None).cast(marked.schema["__ps"].dataType))
+    marked = _met(known, places)  # with __t: without it the shuffle would be another one
+    unknown = base.where(F.col(doc_id).isNull()).withColumn("__t", F.lit(0).cast("long")).withColumn("__ps", F.lit(None).cast(marked.schema["__ps"].dataType))
     return with_arrow(marked.unionByName(unknown), ADDED, lambda batch: _cut(batch, text, window, texts), kept, text)
 
 
