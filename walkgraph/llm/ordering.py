@@ -13,6 +13,7 @@ Documents are dealt by ranges, encoded once and kept in the shared folder; a doc
 the stream follows from the counts of ids of the ranges before, one number each, and of the rows
 before it in its range. Rows that are equal in id and text are parted by their places, so neither
 a hot id nor many equal rows meet in a task; a long document's sequences spread over all shards.
+Ids are compressed wherever they are kept or moved, but for the shards.
 
 A task writes a file under a name of its own and renames it when it is whole, so a task that runs
 again, or twice, leaves the same file. A folder without manifest.json isn't whole.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from walkgraph.llm.common import by_ranges, partitions, permuted, split, summed
-from walkgraph.llm.encoding import KIND, Ranks, with_ids
+from walkgraph.llm.encoding import KIND, Ranks, squeezed, unsqueezed, with_ids
 
 LENGTH = 2048
 PER_SHARD = 1 << 14
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text
     """(slot, at, doc_id, part, n_tokens, ids): what a document has of a sequence, from its place `at`; and the count of sequences."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("__doc"), whole.alias("__text"), F.xxhash64(whole).alias("__hash"))
-    dealt = with_ids(by_ranges(rows, ["__doc", "__hash"]), ids, ["__doc"], "__text")
+    dealt = with_ids(by_ranges(rows, ["__doc", "__hash"]), ids, ["__doc"], "__text", squeezed=True)
     rows, starts, tokens = summed(dealt.withColumn("__n", F.col("__n") + 1), "__n")
     total, end = -(-tokens // length), np.array([ids.end], KIND).tobytes()
     size = KIND.itemsize
@@ -81,8 +82,8 @@ def pieces(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text
                 sequence = first[of] // length + part
                 lo = np.maximum(sequence * length, first[of])
                 hi = np.minimum((sequence + 1) * length, first[of] + n[of])
-                data = [x.as_py() + end for x in batch.column("__ids")]
-                cut = [data[i][size * a : size * b] for i, a, b in zip(of.tolist(), (lo - first[of]).tolist(), (hi - first[of]).tolist())]
+                data = [unsqueezed(x) + end for x in batch.column("__ids").to_pylist()]
+                cut = [squeezed(data[i][size * a : size * b]) for i, a, b in zip(of.tolist(), (lo - first[of]).tolist(), (hi - first[of]).tolist())]
                 columns = [pa.array(permuted(sequence, total, key)), pa.array((lo - sequence * length).astype(np.int32)), batch.column("__doc").take(pa.array(of)), pa.array(part), pa.array((hi - lo).astype(np.int32)), pa.array(cut, pa.binary())]
                 whole_out = pa.RecordBatch.from_arrays(columns, names)
                 for k in range(0, len(of), BATCH):
@@ -123,7 +124,7 @@ def materialise(docs: DataFrame, path: str, ids: Ranks, length: int = LENGTH, pe
                     close()
                     now, written_to, temporary = shard, 0, f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
-                data = piece.as_buffer()
+                data = unsqueezed(piece.as_py())
                 if gap := place - written_to:  # behind the stream's last sequence
                     if gap < 0 or gap >= stride:
                         raise RuntimeError(f"shard {shard} lacks ids before {place}")
