@@ -16,7 +16,7 @@ def register(spark: SparkSession, edges: DataFrame, config: WalkConfig) -> None:
 
     The edges go to the workers, so their count is checked: the table functions are for graphs
     of up to walks.BROADCAST_EDGES edges. personalized_rank makes its walk without stored ones."""
-    if not walks._small(edges):
+    if not walks.is_small(edges):
         raise ValueError(f"more than {walks.BROADCAST_EDGES} edges")
     shared = spark.sparkContext.broadcast(walks.adjacency(edges))
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from walkgraph.config import EngineConfig, WalkConfig
 from walkgraph.operators import walkstore
 from walkgraph.operators.graph import GraphStore, set_status
+from walkgraph.operators.setops import numbered
 from walkgraph.operators.walks import generate
 from walkgraph.schemas import ACTIVE, INACTIVE
+from walkgraph.sources.state import kept
 
 
 def threshold(multiplier: float, walks_per_node: int) -> int:
@@ -41,15 +43,15 @@ def decisions(nodes: DataFrame, counts: DataFrame, now: Column, config: EngineCo
 def scan(graph: GraphStore, walks: DataFrame, now: Column, config: EngineConfig, walk_config: WalkConfig, compat: bool = False) -> tuple[GraphStore, DataFrame, DataFrame]:
     """The graph and walks after all decisions, and the promoted nodes' keys (pubkey), to be fetched.
 
-    Promoted nodes get walks; with compat also if they have some already, which doubles them."""
-    found = decisions(graph.nodes, walkstore.visit_counts(walks), now, config, walk_config.walks_per_node)
+    Decisions are made once and kept; all three results follow from them. Promoted nodes get
+    walks, with ids after all others; with compat also if they have some already, which doubles
+    them."""
+    found = kept(decisions(graph.nodes, walkstore.visit_counts(walks), now, config, walk_config.walks_per_node).where("decision is not null").select("id", "pubkey", "decision"))
     up, down = found.where("decision = 'promote'"), found.where("decision = 'demote'")
     nodes = set_status(set_status(graph.nodes, up, ACTIVE, now), down, INACTIVE, now)
     started = walks.select(F.col("path")[0].alias("id")).distinct()
     starts = up.select("id") if compat else up.select("id").join(started, "id", "left_anti")
+    last = walks.agg(F.coalesce(F.max("walk_id"), F.lit(-1))).first()[0]
+    starts = numbered(starts, ["id"], "n").select("id", (F.col("n") * walk_config.walks_per_node + last + 1).alias("first"))
     left = walks.withColumn("id", F.col("path")[0]).join(down.select("id"), "id", "left_anti").select("walk_id", "path")
-    new = generate(starts, graph.edges, walk_config)
-    if compat:  # ids of a second set of walks follow all others
-        last = walks.agg(F.coalesce(F.max("walk_id"), F.lit(-1)) + 1).first()[0]
-        new = new.withColumn("walk_id", F.col("walk_id") + last)
-    return GraphStore(nodes, graph.edges), left.unionByName(new), up.select("pubkey")
+    return GraphStore(nodes, graph.edges), left.unionByName(generate(starts, graph.edges, walk_config)), up.select("pubkey")

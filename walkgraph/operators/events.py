@@ -98,7 +98,7 @@ def apply_serial(events: DataFrame, graph: GraphStore, walks: DataFrame, config:
     return graph, walks, changed
 
 
-def apply_bulk(events: DataFrame, graph: GraphStore, walks: DataFrame, config: WalkConfig, now: Column, number: int = 0, check: bool = True) -> tuple[GraphStore, DataFrame, int]:
+def apply_bulk(events: DataFrame, graph: GraphStore, walks: DataFrame, config: WalkConfig, now: Column, number: int = 0, check: bool = True, by_join: bool | None = None) -> tuple[GraphStore, DataFrame, int]:
     """All lists of a batch at once: affected walks are those that pass through a node whose follows changed.
 
     Such a walk is kept up to the first of these nodes and grown anew from there on the new
@@ -107,7 +107,7 @@ def apply_bulk(events: DataFrame, graph: GraphStore, walks: DataFrame, config: W
     after, deltas = apply_graph(latest(events), graph, now, check)
     moved = kept(deltas.where("size(removed) > 0 or size(added) > 0").select("node_id"))
     cut = walks.select("walk_id", F.posexplode("path").alias("pos", "node")).join(moved, F.col("node") == F.col("node_id")).groupBy("walk_id").agg((F.min("pos") + 1).alias("cut"))
-    hit = kept(walks.join(cut, "walk_id"))
+    hit = kept(walks.join(cut, "walk_id").select("walk_id", F.slice("path", 1, F.col("cut")).alias("path")))
     left = walks.join(hit.select("walk_id"), "walk_id", "left_anti")
-    grown = walk_ops.regrow(hit, after.edges, config, 4 * (number + 1))
+    grown = walk_ops.regrow(hit, after.edges, config, 4 * (number + 1), by_join)
     return after, kept(left.unionByName(grown)), hit.count()

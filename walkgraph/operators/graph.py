@@ -27,6 +27,17 @@ class Delta:
         return replace(self, removed=self.added, added=self.removed)
 
 
+def unchanged(edges: DataFrame, delta: Delta) -> DataFrame:
+    """(dst): the follows of the delta's node that it neither removes nor adds."""
+    mine = edges.where(F.col("src") == delta.node_id).select("dst").distinct()
+    return mine.where(~F.col("dst").isin([*delta.removed, *delta.added])) if delta.removed or delta.added else mine
+
+
+def size(nodes: DataFrame) -> DataFrame:
+    """(n): the count of nodes."""
+    return nodes.agg(F.count(F.lit(1)).alias("n"))
+
+
 def record_list(nodes: DataFrame) -> DataFrame:
     """nodes with `records`, their history as (kind, ts), ordered by kind."""
     kinds = [(-3, "added_ts"), (PROMOTION, "promotion_ts"), (DEMOTION, "demotion_ts")]
@@ -135,7 +146,7 @@ class GraphStore:
         return self.nodes.repartitionByRange(batches, "id")
 
     def size(self) -> int:
-        return self.nodes.count()
+        return size(self.nodes).first()["n"]
 
     def contains_node(self, node_id: int) -> bool:
         return not self.nodes.where(F.col("id") == node_id).isEmpty()
@@ -147,11 +158,15 @@ class GraphStore:
         return self._one(F.col("pubkey") == key, key)
 
     def _one(self, which: Column, name):
-        found = self.nodes.where(which).take(1)
+        found = self.select(which).take(1)
         if not found:
             raise NodeNotFound(name)
         return found[0]
 
+    def select(self, which: Column) -> DataFrame:
+        """The nodes that a condition names."""
+        return self.nodes.where(which)
+
     def _known(self, ids: list[int]) -> DataFrame:
         frame = self._ids(ids)
         if missing := frame.join(self.nodes, "id", "left_anti").take(1):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from walkgraph.config import WalkConfig
@@ -14,9 +16,12 @@ from walkgraph.errors import EmptyWalkStore, InvalidTopK, NodeNotInWalk
 from walkgraph.functions import rng
 from walkgraph.operators import walkstore
 from walkgraph.operators.graph import GraphStore
-from walkgraph.operators.walks import adjacency
+from walkgraph.operators.walks import adjacency, grow_by_join, is_small
 from walkgraph.sources.state import kept
 
+#: The salt of walks that are made for one answer.
+FRESH = 5
+
 
 def global_rank(walks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(node, score): visits of each node over the visits of all nodes, also if only some are asked for."""
@@ -52,23 +57,25 @@ def walks_needed(length: int, alpha: float) -> int:
     return int(np.float32(length) * np.float32(1 - alpha))
 
 
-def exact(nodes: DataFrame, edges: DataFrame, alpha: float, sources: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def exact(nodes: DataFrame, edges: DataFrame, alpha: float, sources: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, score), the expectation of self-avoiding walks from all nodes, or from sources (id).
 
-    Paths are enumerated step by step with their probabilities, so this is for small or
-    acyclic graphs; paths beyond max_depth nodes are left out."""
+    Paths are enumerated step by step with their probabilities until none is left, so this is for
+    small or acyclic graphs. With max_depth, an error if paths of more nodes are left."""
     edges = edges.select("src", "dst").distinct()
     degree = edges.groupBy(F.col("src").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     out = kept(edges.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.lit(alpha) / F.col("n")).alias("p")))
-    paths = (nodes if sources is None else sources).select(F.array("id").alias("path"), F.lit(1.0).alias("w"))
-    totals = []
-    for _ in range(max_depth):
-        paths = kept(paths)
-        if paths.isEmpty():
-            break
+    paths = kept((nodes if sources is None else sources).select(F.array("id").alias("path"), F.lit(1.0).alias("w")))
+    totals, depth = [], 0
+    while not paths.isEmpty():
+        depth += 1
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"paths of more than {max_depth} nodes are left")
         totals.append(paths.groupBy(F.element_at("path", -1).alias("node")).agg(F.sum("w").alias("w")))
         paths = paths.join(out, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        paths = paths.select(F.concat("path", F.array("dst")).alias("path"), (F.col("w") * F.col("p")).alias("w"))
+        paths = kept(paths.select(F.concat("path", F.array("dst")).alias("path"), (F.col("w") * F.col("p")).alias("w")))
+    if not totals:
+        return nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
     every = totals[0]
     for t in totals[1:]:
         every = every.unionByName(t)
@@ -82,8 +89,9 @@ def exact_by_levels(starts: DataFrame, edges: DataFrame, alpha: float, levels: i
 
     No path can meet itself there, so the expected visits of a level follow from the one before
     by one join and one sum."""
+    edges = kept(edges)
     degree = edges.groupBy(F.col("src").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    out = edges.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.lit(alpha) / F.col("n")).alias("p"))
+    out = kept(edges.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.lit(alpha) / F.col("n")).alias("p")))
     now = starts.where("level = 0").select(F.col("id").alias("node"), "w")
     every = now
     for level in range(1, levels):
@@ -175,26 +183,51 @@ def stitch(source: int, follows, walks: list[list[int]], length: int, config: Wa
     return walk.all
 
 
-def personalized(graph: GraphStore, walks: DataFrame, sources: list[int], top_k: int, config: WalkConfig) -> DataFrame:
+def sampled(walks: DataFrame, pairs: DataFrame, limit: int, seed: int) -> DataFrame:
+    """(source, walk_id, path): for pairs (source, node), at most limit div (the source's nodes) walks through each node, drawn by hashes.
+
+    One pass of the walks for all sources; a ranked limit cuts each node's walks before they are dealt."""
+    each = pairs.groupBy("source").agg((F.floor(F.lit(limit) / F.count(F.lit(1)))).alias("each"))
+    draw, _ = rng.draw_columns(seed, F.col("walk_id"), 0, 9)
+    through = walks.select("walk_id", F.explode("path").alias("node")).join(pairs.join(each, "source"), "node").withColumn("u", draw)
+    through = through.withColumn("lane", F.pmod("walk_id", F.lit(64)))
+    for keys in (["source", "node", "lane"], ["source", "node"]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy("u", "walk_id"))
+        through = through.withColumn("k", place).where("k <= each")
+    return through.select("source", "walk_id").distinct().join(walks, "walk_id").select("source", "walk_id", "path")
+
+
+def personalized(graph: GraphStore, walks: DataFrame, sources: list[int], top_k: int, config: WalkConfig, by_join: bool | None = None) -> DataFrame:
     """(source, node, score): the whole vector of each source; top_k sets only how long its walk is.
 
-    A group holds a source's sampled walks, at most walks_needed() of them, so its size is bounded."""
+    With up to BROADCAST_EDGES edges a source's walk is stitched of stored walks, at most
+    walks_needed() of them. A larger graph isn't sent anywhere: as many walks are made anew by
+    joins, whose visits have the same expectation."""
     spark = graph.spark
     for s in sources:
         graph.node_by_id(s)
     if top_k < 1:
         raise InvalidTopK(top_k)
-    length = required_length(top_k, config.alpha)
-    shared = spark.sparkContext.broadcast(adjacency(graph.edges))
-    samples = None
-    for s in sources:
-        ids = [s, *shared.value.follows(s).tolist()]
-        chosen = walks.join(walkstore.visiting(walks, walks_needed(length, config.alpha), ids, config.seed), "walk_id", "left_semi")
-        one = chosen.select(F.lit(s).cast("long").alias("source"), "walk_id", "path").unionByName(
-            spark.createDataFrame([(s, -1, [])], "source long, walk_id long, path array<long>"))
-        samples = one if samples is None else samples.unionByName(one)
-    if samples is None:
+    if walks.isEmpty():
+        raise EmptyWalkStore
+    if not sources:
         return spark.createDataFrame([], "source long, node long, score double")
+    length = required_length(top_k, config.alpha)
+    needed = walks_needed(length, config.alpha)
+    edges = kept(graph.edges.select("src", "dst").distinct())
+    asked = spark.createDataFrame([(s,) for s in sorted(set(sources))], "source long")
+    if by_join if by_join is not None else not is_small(edges):
+        each = F.explode(F.sequence(F.lit(0), F.lit(needed - 1))).alias("k")
+        starts = asked.select("source", each).select((F.col("source") * needed + F.col("k")).alias("walk_id"), F.array("source").alias("path"))
+        made = grow_by_join(starts, edges, config, FRESH)
+        counts = kept(made.select(F.col("path")[0].alias("source"), F.explode("path").alias("node")).groupBy("source", "node").agg(F.count(F.lit(1)).alias("n")))
+        total = counts.groupBy("source").agg(F.sum("n").alias("total"))
+        return counts.join(total, "source").select("source", "node", (F.col("n") / F.col("total")).alias("score"))
+    shared = spark.sparkContext.broadcast(adjacency(edges))
+    own = edges.join(asked, F.col("src") == F.col("source")).select("source", F.col("dst").alias("node"))
+    pairs = kept(own.unionByName(asked.select("source", F.col("source").alias("node"))).distinct())
+    samples = sampled(walks, pairs, needed, config.seed).unionByName(
+        asked.select("source", F.lit(-1).cast("long").alias("walk_id"), F.array().cast("array<bigint>").alias("path")))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         source = key[0].as_py()
@@ -205,3 +238,12 @@ def personalized(graph: GraphStore, walks: DataFrame, sources: list[int], top_k:
         return pa.table({"source": np.full(len(nodes), source), "node": nodes, "score": n / n.sum()})
 
     return samples.groupBy("source").applyInArrow(run, "source long, node long, score double")
+
+
+#: The distance that was measured with so many walks. Fixed values of the accuracy gate.
+MEASURED_WALKS, MEASURED_DISTANCE = 2_000_000, 0.05
+
+
+def expected_distance(active: int, nodes: int, walks_per_node: int) -> float:
+    """The distance to expect of ranks by walks from the active nodes: it falls with the root of their count."""
+    return MEASURED_DISTANCE / math.sqrt(active * walks_per_node / MEASURED_WALKS) * (nodes / active)

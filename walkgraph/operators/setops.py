@@ -21,8 +21,8 @@ def sorted_walks(walks: DataFrame) -> DataFrame:
     return walks.orderBy("path", "walk_id")
 
 
-def batches(df: DataFrame, order: list[str], size: int, name: str) -> DataFrame:
-    """df with `name`, the number of its batch of `size` rows in the order of `order`.
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with `name`, the rows before this one in the order of `order`.
 
     Rows are dealt by ranges and counted by range, so no task has them all."""
     spark = df.sparkSession
@@ -34,4 +34,14 @@ def batches(df: DataFrame, order: list[str], size: int, name: str) -> DataFrame:
         before += r["count"]
     at = F.row_number().over(W.partitionBy("__pid").orderBy(*order)) - 1
     out = dealt.withColumn("__at", at).join(F.broadcast(spark.createDataFrame(starts, "__pid int, __from long")), "__pid")
-    return out.withColumn(name, F.expr(f"(__from + __at) div {size}")).select(*df.columns, name)
+    return out.withColumn(name, F.col("__from") + F.col("__at")).select(*df.columns, name)
+
+
+def batches(df: DataFrame, order: list[str], size: int, name: str) -> DataFrame:
+    """df with `name`, the number of its batch of `size` rows in the order of `order`."""
+    return numbered(df, order, name).withColumn(name, F.expr(f"`{name}` div {size}"))
+
+
+def difference_bags(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a less those of b, each as many times as a has it more often."""
+    return a.exceptAll(b.select(*a.columns))

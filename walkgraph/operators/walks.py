@@ -4,10 +4,10 @@ A walk begins at a node. At each step it goes on with probability alpha to a fol
 uniformly; it stops if there is none, or if the draw is a node that it has visited (no second
 draw). Draws depend on (seed, walk, step, salt) alone, so any plan gives the same walks.
 
-Two plans: with up to BROADCAST_EDGES edges (counted first) they go to all workers as two
-arrays, and each partition of starts grows its walks by itself, with no shuffle. A larger graph
-is walked by joins, a step for all walks at a time, with the frontier kept in the shared
-checkpoint folder."""
+Two plans, for new walks and for those that go on after a cut: with up to BROADCAST_EDGES edges
+(counted first) these go to all workers as two arrays, and each partition grows its walks by
+itself, with no shuffle. A larger graph is walked by joins, a step for all walks at a time, with
+the frontier kept in the shared checkpoint folder. Only walks that change are ever in them."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from walkgraph.functions import rng, scalars
 from walkgraph.operators.graph import GraphStore
 from walkgraph.sources.state import kept
 
-BROADCAST_EDGES = 50_000_000
+BROADCAST_EDGES = 10_000_000
 BATCH = 1 << 16
 #: Salts of the draws: of new walks, and of walks grown again (to which an update's number is added).
 GENERATE, REMOVED, NEW, SAMPLE = 0, 1, 2, 3
@@ -88,40 +88,45 @@ def _lists(paths: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *paths])))
 
 
-def _small(edges: DataFrame) -> bool:
-    return edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+def is_small(edges: DataFrame) -> bool:
+    """Whether the edges may go to the driver and to all workers."""
+    return edges.count() <= BROADCAST_EDGES
 
 
 def generate(starts: DataFrame, edges: DataFrame, config: WalkConfig, fast: bool = False, by_join: bool | None = None) -> DataFrame:
-    """(walk_id, path): walks_per_node walks from each of starts (id); walk ids are id * walks_per_node + 0, 1, ..."""
+    """(walk_id, path): walks_per_node walks from each of starts (id).
+
+    Their ids are id * walks_per_node + 0, 1, ..., or first + 0, 1, ... if starts has that column."""
     r = config.walks_per_node
-    if by_join if by_join is not None else not _small(edges):
-        return _generate_by_join(starts, edges, config)
+    starts = starts.select("id", F.col("first") if "first" in starts.columns else (F.col("id") * r).alias("first"))
+    edges = kept(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct())
+    if by_join if by_join is not None else not is_small(edges):
+        each = F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("k")
+        return grow_by_join(starts.select("id", "first", each).select((F.col("first") + F.col("k")).alias("walk_id"), F.array("id").alias("path")), edges, config, GENERATE)
     shared = edges.sparkSession.sparkContext.broadcast(adjacency(edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(ids), max(1, BATCH // r)):
-                some = ids[lo : lo + max(1, BATCH // r)]
-                walk_ids = (some[:, None] * r + np.arange(r)).ravel()
-                paths = grow(shared.value, walk_ids, np.repeat(some, r), config, GENERATE, fast)
+            ids, firsts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            step = max(1, BATCH // r)
+            for lo in range(0, len(ids), step):
+                walk_ids = (firsts[lo : lo + step, None] + np.arange(r)).ravel()
+                paths = grow(shared.value, walk_ids, np.repeat(ids[lo : lo + step], r), config, GENERATE, fast)
                 yield pa.RecordBatch.from_arrays([pa.array(walk_ids), _lists(paths)], ["walk_id", "path"])
 
-    return starts.select("id").mapInArrow(run, "walk_id long, path array<long>")
+    return starts.mapInArrow(run, "walk_id long, path array<long>")
 
 
-def _generate_by_join(starts: DataFrame, edges: DataFrame, config: WalkConfig) -> DataFrame:
+def grow_by_join(frontier: DataFrame, edges: DataFrame, config: WalkConfig, salt: int) -> DataFrame:
+    """Walks (walk_id, path) grown on from their last nodes, a join with the edges for each step."""
     numbered = kept(edges.select("src", "dst").distinct().select("src", "dst", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).alias("i")))
     degree = kept(numbered.groupBy(F.col("src").alias("s")).agg(F.count(F.lit(1)).alias("n")))
-    r = F.explode(F.sequence(F.lit(0), F.lit(config.walks_per_node - 1)))
-    frontier = starts.select("id", r.alias("r")).select((F.col("id") * config.walks_per_node + F.col("r")).alias("walk_id"), F.array("id").alias("path"))
     done, step = [], 1
     while True:
         frontier = kept(frontier)
         if frontier.isEmpty():
             break
-        stop, pick = rng.draw_columns(config.seed, F.col("walk_id"), step, GENERATE)
+        stop, pick = rng.draw_columns(config.seed, F.col("walk_id"), step, salt)
         on = stop <= rng.limit(config.alpha)
         last = F.element_at("path", -1)
         moved = frontier.select("walk_id", "path", on.alias("on"), pick.alias("u"), last.alias("last"))
@@ -154,68 +159,64 @@ def remove_starting(walks: DataFrame, node: int) -> DataFrame:
     return walks.where(F.col("path")[0] != node)
 
 
-def segment(adj: Adjacency, walk_id: int, prefix: list[int], candidates: np.ndarray, config: WalkConfig, salt: int, toss: bool) -> list[int]:
-    """What to graft after the prefix: a candidate drawn uniformly and a walk from it, up to the first node of the prefix."""
-    stop, pick = rng.draws(config.seed, np.array([walk_id]), 0, salt)
-    if not len(candidates) or (toss and stop[0] > rng.limit(config.alpha)):
-        return []
-    to = int(candidates[pick[0] % len(candidates)])
-    if to in prefix:
-        return []
-    path = grow(adj, np.array([walk_id]), np.array([to]), config, salt)[0].tolist()
-    seen = set(prefix)
-    cut = next((i for i, x in enumerate(path) if x in seen), len(path))
-    return path[:cut]
-
-
-def _regrown(walks: DataFrame, shared, candidates: list[int], config: WalkConfig, salt: int, toss: bool) -> DataFrame:
-    """walks (walk_id, path, cut) with what follows the cut grown again."""
-    c = np.array(sorted(candidates), np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, paths, cuts = (batch.column(i).to_pylist() for i in range(3))
-            out = [p[:k] + segment(shared.value, w, p[:k], c, config, salt, toss) for w, p, k in zip(ids, paths, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["walk_id", "path"])
-
-    return walks.select("walk_id", "path", "cut").mapInArrow(run, "walk_id long, path array<long>")
+def ids_of(ids: list[int]) -> Column:
+    """A list of ids as a constant; one literal, however many there are."""
+    if not ids:
+        return F.array().cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>")
 
 
-def regrow(walks: DataFrame, edges: DataFrame, config: WalkConfig, salt: int) -> DataFrame:
-    """walks (walk_id, path, cut) kept up to the cut and grown on from its last node, a toss before each step."""
+def regrow(walks: DataFrame, edges: DataFrame, config: WalkConfig, salt: int, by_join: bool | None = None) -> DataFrame:
+    """Walks (walk_id, path) grown on from their last nodes, a toss before each step, up to the first node that they have."""
+    edges = kept(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct())
+    if by_join if by_join is not None else not is_small(edges):
+        return grow_by_join(walks.select("walk_id", "path"), edges, config, salt)
     shared = edges.sparkSession.sparkContext.broadcast(adjacency(edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, paths, cuts = (batch.column(i).to_pylist() for i in range(3))
-            heads = [p[:k] for p, k in zip(paths, cuts)]
-            walk_ids = np.array(ids, np.int64)
-            tails = grow(shared.value, walk_ids, np.array([h[-1] for h in heads], np.int64), config, salt)
+            ids, heads = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            tails = grow(shared.value, ids, np.array([h[-1] for h in heads], np.int64), config, salt)
             out = []
             for head, tail in zip(heads, tails):
                 seen, more = set(head), tail.tolist()[1:]
                 out.append(head + more[: next((i for i, x in enumerate(more) if x in seen), len(more))])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["walk_id", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out, pa.list_(pa.int64()))], ["walk_id", "path"])
 
-    return walks.select("walk_id", "path", "cut").mapInArrow(run, "walk_id long, path array<long>")
+    return walks.select("walk_id", "path").mapInArrow(run, "walk_id long, path array<long>")
 
 
-def update(walks: DataFrame, edges: DataFrame, node: int, removed: list[int], common: list[int], added: list[int], config: WalkConfig, number: int = 1) -> tuple[DataFrame, int]:
+def grafted(walks: DataFrame, edges: DataFrame, candidates: list[int], config: WalkConfig, salt: int, toss: bool, by_join: bool | None = None) -> DataFrame:
+    """walks (walk_id, path, cut) cut there; they go on to a candidate drawn uniformly, after a toss if so asked, and from it on.
+
+    A walk without candidates, that fails the toss, or whose candidate it has, ends at the cut."""
+    stop, pick = rng.draw_columns(config.seed, F.col("walk_id"), 0, salt)
+    goes = (stop <= rng.limit(config.alpha)) if toss else F.lit(True)
+    head = F.slice("path", 1, F.col("cut").cast("int"))
+    to = F.get(ids_of(candidates), (pick % max(len(candidates), 1)).cast("int"))
+    cut = walks.select("walk_id", head.alias("path"), F.when(goes, to).alias("to"))
+    on = F.coalesce(~F.array_contains("path", F.col("to")), F.lit(False))
+    cut = kept(cut.select("walk_id", F.when(on, F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"), on.alias("on")))
+    grown = regrow(cut.where("on"), edges, config, salt, by_join)
+    return cut.where("not on").select("walk_id", "path").unionByName(grown)
+
+
+def update(walks: DataFrame, edges: DataFrame, node: int, removed: list[int], common: list[int], added: list[int], config: WalkConfig, number: int = 1, by_join: bool | None = None) -> tuple[DataFrame, int]:
     """walks after the node's follows changed (edges are those after the change), and how many were changed.
 
     Removed phase: walks with a step from the node to one of the removed are cut after the node
     and go on to one of the common follows; that they go on has been tossed before. Added phase,
     on the result: of the walks through the node a share of added / (common + added), drawn by
     hashes, are cut after the node and, with probability alpha, go on to one of the added. A walk
-    may count in both. number tells updates apart: equal numbers draw alike."""
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency(edges))
+    may count in both. number tells updates apart: equal numbers draw alike. Only the walks that
+    change move."""
     changed = 0
     if removed:
-        gone = F.array(*[F.lit(x).cast("long") for x in removed])
-        marked = walks.withColumn("cut", scalars.invalid_step("path", F.lit(node).cast("long"), gone))
-        hit = marked.where("cut is not null")
+        marked = walks.withColumn("cut", scalars.invalid_step("path", F.lit(node).cast("long"), ids_of(removed)))
+        hit = kept(marked.where("cut is not null"))
         changed += hit.count()
-        walks = kept(marked.where("cut is null").drop("cut").unionByName(_regrown(hit, shared, common, config, 4 * number + REMOVED, False)))
+        rest = marked.where("cut is null").drop("cut")
+        walks = kept(rest.unionByName(grafted(hit, edges, common, config, 4 * number + REMOVED, False, by_join)))
     if added:
         at = F.array_position("path", F.lit(node).cast("long")).cast("int")
         through = walks.withColumn("cut", at).where("cut > 0")
@@ -226,7 +227,7 @@ def update(walks: DataFrame, edges: DataFrame, node: int, removed: list[int], co
         chosen = kept(through.withColumn("u", order).orderBy("u", "walk_id").limit(n)) if n else through.limit(0)
         changed += n
         rest = walks.join(chosen.select("walk_id"), "walk_id", "left_anti")
-        walks = kept(rest.unionByName(_regrown(chosen, shared, added, config, 4 * number + NEW, True)))
+        walks = kept(rest.unionByName(grafted(chosen, edges, added, config, 4 * number + NEW, True, by_join)))
     return walks, changed
 
 
@@ -235,9 +236,3 @@ def sample_size(added: int, current: int, visits: int) -> int:
     if current == 0:
         return 0
     return int(np.float32(added) / np.float32(current) * np.float32(visits) + np.float32(0.5))
-
-
-def random_walks(spark, n_nodes: int, count: int, length: int = 7, seed: int = 0) -> DataFrame:
-    """Walks of equal length that may repeat nodes, for benchmarks."""
-    path = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(n_nodes)))
-    return spark.range(count).select(F.col("id").alias("walk_id"), path.alias("path"))

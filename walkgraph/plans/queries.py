@@ -14,8 +14,9 @@ from walkgraph.config import EngineConfig, WalkConfig
 from walkgraph.functions import rng, scalars
 from walkgraph.operators import arbiter, events, graph, rank, setops, walks, walkstore
 from walkgraph.operators.graph import GraphStore
-from walkgraph.schemas import EVENTS
+from walkgraph.schemas import DEMOTION, EVENTS, PROMOTION
 from walkgraph.sources import views
+from walkgraph.streaming import pipeline
 
 CONFIG = WalkConfig(alpha=0.85, walks_per_node=20, seed=42)
 #: A fixed moment for ages and additions.
@@ -36,16 +37,25 @@ NODES = """n AS (
 #: All users, and as many ids of which some are unknown.
 ASKED = "q AS (SELECT user_id AS id FROM events UNION SELECT user_id + 7 FROM events)"
 FOLLOWS = "f AS (SELECT src, list(dst ORDER BY dst) AS fs FROM e GROUP BY src)"
-_STOP, _PICK = rng.draw_sql(CONFIG.seed, "walk_id", "k", walks.GENERATE)
-WALKS = f"""{EDGES}, {NODES}, {FOLLOWS}, w(walk_id, path, k) AS (
-  SELECT id * {CONFIG.walks_per_node} + r, [id], 1 FROM n, range({CONFIG.walks_per_node}) AS t(r)
+R, LIMIT = CONFIG.walks_per_node, rng.limit(CONFIG.alpha)
+
+
+def _grown(name: str, start: str, follows: str, salt: int) -> str:
+    """SQL of the table `name` (walk_id, path): the walks of `start` grown on by the lists of `follows`."""
+    stop, pick = rng.draw_sql(CONFIG.seed, "walk_id", "k", salt)
+    return f"""{name}_steps(walk_id, path, k) AS (
+  SELECT walk_id, path, 1 FROM ({start})
   UNION ALL
   SELECT walk_id, list_append(path, dst), k + 1 FROM (
-    SELECT walk_id, path, k, fs[{_PICK} % len(fs) + 1] AS dst FROM w JOIN f ON f.src = path[-1]
-    WHERE {_STOP} <= {rng.limit(CONFIG.alpha)})
+    SELECT walk_id, path, k, fs[{pick} % len(fs) + 1] AS dst FROM {name}_steps JOIN {follows} ON {follows}.src = path[-1]
+    WHERE {stop} <= {LIMIT})
   WHERE NOT list_contains(path, dst)),
-walks AS (SELECT walk_id, arg_max(path, k) AS path FROM w GROUP BY walk_id),
-visits AS (SELECT walk_id, unnest(path) AS node FROM walks)"""
+{name} AS (SELECT walk_id, arg_max(path, k) AS path FROM {name}_steps GROUP BY walk_id)"""
+
+
+_GRAPH = f"{EDGES}, {NODES}, {FOLLOWS}"
+_EVERY_WALK = _grown("walks", f"SELECT id * {R} + r AS walk_id, [id] AS path FROM n, range({R}) AS t(r)", "f", walks.GENERATE)
+WALKS = f"{_GRAPH}, {_EVERY_WALK}, visits AS (SELECT walk_id, unnest(path) AS node FROM walks)"
 EVENTS_SQL = f"""ev AS (
   SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, md5(CAST(user_id AS VARCHAR)) AS pubkey,
          CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 0 ELSE 1 END AS kind,
@@ -77,6 +87,12 @@ def _asked(spark, d):
     return users.unionByName(users.select((F.col("id") + 7).alias("id"))).distinct()
 
 
+def _store(spark, d):
+    """Nodes and edges, as yet without changes of status."""
+    none = [F.lit(None).cast("timestamp").alias(c) for c in ("promotion_ts", "demotion_ts")]
+    return GraphStore(views.nodes(spark, d).select("id", "pubkey", "status", "added_ts", *none), _edges(spark, d))
+
+
 def _walks(spark, d):
     return walks.generate(views.nodes(spark, d), _edges(spark, d), CONFIG)
 
@@ -86,22 +102,27 @@ def _walks(spark, d):
 
 @query(f"WITH {NODES} SELECT id, pubkey, status FROM n")
 def node_scan(spark, d):
-    return views.nodes(spark, d).select("id", "pubkey", "status")
+    return _store(spark, d).scan(8).select("id", "pubkey", "status")
 
 
 @query(f"WITH {NODES} SELECT count(*) AS n FROM n")
 def node_size(spark, d):
-    return views.nodes(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    return graph.size(views.nodes(spark, d))
 
 
 @query(f"WITH {NODES} SELECT id, pubkey, status FROM n WHERE pubkey = md5('7')")
 def node_by_key(spark, d):
-    return views.nodes(spark, d).where(F.col("pubkey") == F.md5(F.lit("7"))).select("id", "pubkey", "status")
+    return _store(spark, d).select(F.col("pubkey") == F.md5(F.lit("7"))).select("id", "pubkey", "status")
 
 
 @query(f"WITH {NODES} SELECT id, pubkey, status FROM n WHERE id = 7")
 def node_by_id(spark, d):
-    return views.nodes(spark, d).where(F.col("id") == 7).select("id", "pubkey", "status")
+    return _store(spark, d).select(F.col("id") == 7).select("id", "pubkey", "status")
+
+
+@query(f"WITH {NODES} SELECT id FROM n")
+def all_nodes(spark, d):
+    return _store(spark, d).all_nodes()
 
 
 @query(f"WITH {NODES}, {ASKED} SELECT q.id, n.id IS NOT NULL AS found FROM q LEFT JOIN n USING (id)")
@@ -226,10 +247,11 @@ def event_dispatch(spark, d):
     return events.dispatched(views.events(spark, d)).groupBy("handler").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT id, pubkey, kind FROM ev WHERE kind IN (0, 3) AND user_id % 2 = 0")
+@query(f"WITH {EVENTS_SQL}, {NODES} SELECT id, md5(CAST(user_id + 7 AS VARCHAR)) AS pubkey, kind FROM ev WHERE kind IN (0, 3) AND user_id + 7 IN (SELECT id FROM n)")
 def known_author_filter(spark, d):
-    even = views.nodes(spark, d).where("id % 2 = 0")
-    return events.known_authors(views.events(spark, d), even).select("id", "pubkey", "kind")
+    """Events as if by the author whose id is 7 more, of whom some are unknown."""
+    shifted = views.events(spark, d).withColumn("pubkey", F.md5((F.col("user_id") + 7).cast("string")))
+    return events.known_authors(shifted, views.nodes(spark, d)).select("id", "pubkey", "kind")
 
 
 @query(f"""WITH {EVENTS_SQL}, l AS (SELECT pubkey, string_agg(key, ',' ORDER BY key) AS s FROM keys GROUP BY pubkey)
@@ -239,24 +261,32 @@ def parse_pubkeys(spark, d):
     return lists.select("pubkey", F.array_join("keys", ",").alias("keys"))
 
 
-def _applied(spark, d):
-    """The graph of all users after their newest follow lists, each of which also has the key of id + 7: some are unknown."""
-    nodes = views.nodes(spark, d).withColumn("promotion_ts", F.lit(None).cast("timestamp")).withColumn("demotion_ts", F.lit(None).cast("timestamp"))
+def _newest(spark, d):
+    """Newest events; each follow list also has the key of its author's id + 7: some are unknown."""
     more = F.array(F.array(F.lit("p"), F.md5((F.col("user_id") + 7).cast("string"))))
-    listed = views.events(spark, d).withColumn("tags", F.concat("tags", more))
-    newest = events.latest(listed.select(*EVENTS.names))
-    return events.apply_graph(newest, GraphStore(nodes, _edges(spark, d)), F.lit(NOW).cast("timestamp"), check=False)
+    return events.latest(views.events(spark, d).withColumn("tags", F.concat("tags", more)).select(*EVENTS.names))
+
+
+def _applied(spark, d):
+    """The graph of all users after their newest follow lists."""
+    return events.apply_graph(_newest(spark, d), _store(spark, d), F.lit(NOW).cast("timestamp"), check=False)
 
 
-_APPLIED = f"""{EVENTS_SQL}, {EDGES}, {NODES},
-known AS (SELECT * FROM n WHERE id % 2 = 0),
+_APPLIED = f"""{EVENTS_SQL}, {_GRAPH},
+listed AS (SELECT pubkey, key FROM keys UNION SELECT pubkey, md5(CAST(user_id + 7 AS VARCHAR)) FROM newest WHERE kind = 3),
 fresh AS (
-  SELECT key AS pubkey, (SELECT max(id) FROM known) + row_number() OVER (ORDER BY key) AS id
-  FROM (SELECT DISTINCT key FROM keys JOIN known USING (pubkey) WHERE status = 'active' AND key NOT IN (SELECT pubkey FROM known))),
-everyone AS (SELECT id, pubkey, status FROM known UNION ALL SELECT id, pubkey, 'inactive' FROM fresh),
-author AS (SELECT DISTINCT known.id AS node_id, pubkey FROM newest JOIN known USING (pubkey) WHERE kind = 3),
-target AS (SELECT DISTINCT node_id, everyone.id AS k FROM author JOIN keys USING (pubkey) JOIN everyone ON everyone.pubkey = key),
-before AS (SELECT src, dst FROM e WHERE src % 2 = 0 AND dst % 2 = 0)"""
+  SELECT key AS pubkey, (SELECT max(id) FROM n) + row_number() OVER (ORDER BY key) AS id
+  FROM (SELECT DISTINCT key FROM listed JOIN n USING (pubkey) WHERE status = 'active' AND key NOT IN (SELECT pubkey FROM n))),
+everyone AS (SELECT id, pubkey, status FROM n UNION ALL SELECT id, pubkey, 'inactive' FROM fresh),
+author AS (SELECT DISTINCT n.id AS node_id, pubkey FROM newest JOIN n USING (pubkey) WHERE kind = 3),
+target AS (SELECT DISTINCT node_id, everyone.id AS k FROM author JOIN listed USING (pubkey) JOIN everyone ON everyone.pubkey = key),
+after AS (SELECT src, dst FROM e WHERE src NOT IN (SELECT node_id FROM author) UNION ALL SELECT node_id, k FROM target),
+b AS (SELECT src AS node_id, dst AS k FROM e WHERE src IN (SELECT node_id FROM author)),
+deltas AS (
+  SELECT author.node_id, count(b.k) FILTER (target.k IS NULL) AS n_removed, count(b.k) FILTER (target.k = b.k) AS n_common,
+         count(target.k) FILTER (b.k IS NULL) AS n_added
+  FROM author LEFT JOIN (b FULL JOIN target ON b.node_id = target.node_id AND b.k = target.k) ON author.node_id = coalesce(b.node_id, target.node_id)
+  GROUP BY author.node_id)"""
 
 
 @query(f"WITH {_APPLIED} SELECT id, pubkey, status FROM everyone")
@@ -264,23 +294,35 @@ def resolve_ids(spark, d):
     return _applied(spark, d)[0].nodes.select("id", "pubkey", "status")
 
 
-@query(f"""WITH {_APPLIED}
-SELECT src, dst FROM before WHERE src NOT IN (SELECT node_id FROM author)
-UNION ALL SELECT node_id, k FROM target""")
+@query(f"WITH {_APPLIED} SELECT src, dst FROM after")
 def update_follows(spark, d):
     return _applied(spark, d)[0].edges.select("src", "dst")
 
 
-@query(f"""WITH {_APPLIED}, b AS (SELECT src AS node_id, dst AS k FROM before WHERE src IN (SELECT node_id FROM author))
-SELECT author.node_id, count(b.k) FILTER (target.k IS NULL) AS n_removed, count(b.k) FILTER (target.k = b.k) AS n_common,
-       count(target.k) FILTER (b.k IS NULL) AS n_added
-FROM author LEFT JOIN (b FULL JOIN target ON b.node_id = target.node_id AND b.k = target.k) ON author.node_id = coalesce(b.node_id, target.node_id)
-GROUP BY author.node_id""")
+@query(f"WITH {_APPLIED} SELECT node_id, n_removed, n_common, n_added FROM deltas")
 def follow_list_deltas(spark, d):
     deltas = _applied(spark, d)[1]
     return deltas.select("node_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("removed", "common", "added")])
 
 
+@query(f"""WITH RECURSIVE {_APPLIED}, {_EVERY_WALK}, f2 AS (SELECT src, list(dst ORDER BY dst) AS fs FROM after GROUP BY src),
+moved AS (SELECT node_id FROM deltas WHERE n_removed + n_added > 0),
+hit AS (SELECT walk_id, min(i) AS cut FROM (SELECT walk_id, unnest(path) AS node, generate_subscripts(path, 1) AS i FROM walks) JOIN moved ON node = node_id GROUP BY walk_id),
+{_grown("regrown", "SELECT walk_id, path[1:cut] AS path FROM walks JOIN hit USING (walk_id)", "f2", 4)}
+SELECT walk_id, array_to_string(path, ',') AS path FROM walks WHERE walk_id NOT IN (SELECT walk_id FROM hit)
+UNION ALL SELECT walk_id, array_to_string(path, ',') FROM regrown""")
+def bulk_update_walks(spark, d):
+    """All walks after all users' newest follow lists."""
+    _, out, _ = events.apply_bulk(_newest(spark, d), _store(spark, d), walks.kept(_walks(spark, d)), CONFIG, F.lit(NOW).cast("timestamp"), check=False)
+    return out.select("walk_id", scalars.format_walk("path").alias("path"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT id, pubkey, created_at FROM newest WHERE kind = 3")
+def stream_follow_lists(spark, d):
+    """The newest follow list of each author, from the table as a stream."""
+    return pipeline.newest_lists(views.event_stream(spark, d)).select("id", "pubkey", "created_at")
+
+
 @query(f"""WITH {EVENTS_SQL}, early AS (SELECT pubkey, kind, max(created_at) AS t FROM ev WHERE CAST(id AS BIGINT) % 2 = 0 GROUP BY ALL),
 late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pubkey, kind ORDER BY created_at DESC, id) AS r2 FROM ev WHERE CAST(id AS BIGINT) % 2 = 1) WHERE r2 = 1)
 SELECT late.id, late.pubkey, late.kind, late.created_at FROM late LEFT JOIN early USING (pubkey, kind) WHERE t IS NULL OR late.created_at > t""")
@@ -326,11 +368,50 @@ def total_visits(spark, d):
     return walkstore.total_visits(_walks(spark, d))
 
 
-@query(f"WITH RECURSIVE {WALKS} SELECT node, count(*) AS visits, count(*) / (SELECT count(*) FROM visits) AS score FROM visits GROUP BY node")
+@query(f"WITH RECURSIVE {WALKS} SELECT node, count(*) / (SELECT count(*) FROM visits) AS score FROM visits GROUP BY node")
 def global_rank_handoff(spark, d):
-    found = _walks(spark, d).select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("visits"))
-    total = found.agg(F.sum("visits").alias("total"))
-    return found.join(F.broadcast(total)).select("node", "visits", (F.col("visits") / F.col("total")).alias("score"))
+    return rank.global_rank(walks.kept(_walks(spark, d)))
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT node, count(*) / (SELECT count(*) FROM visits) AS score FROM visits GROUP BY node ORDER BY score DESC, node LIMIT 10")
+def top_ranks(spark, d):
+    return rank.top(rank.global_rank(walks.kept(_walks(spark, d))), 10)
+
+
+@query("SELECT user_id AS node, count(*) / (SELECT count(*) FROM events) AS score FROM events GROUP BY user_id")
+def visit_frequencies(spark, d):
+    return rank.frequencies(views.events(spark, d).select(F.col("user_id").alias("node")))
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT CAST(pos AS INT) AS pos, walk_id, array_to_string(path, ',') AS path FROM (VALUES (0, 41), (1, 0), (2, 23)) AS t(pos, walk_id) JOIN walks USING (walk_id)")
+def walks_by_id(spark, d):
+    out = walkstore.WalkStore(walks.kept(_walks(spark, d)), CONFIG).get(41, 0, 23)
+    return out.select("pos", "walk_id", scalars.format_walk("path").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {WALKS} SELECT walk_id, array_to_string(path, ',') AS path FROM walks
+UNION ALL SELECT (SELECT max(walk_id) FROM walks) + row_number() OVER (ORDER BY src, dst), src || ',' || dst FROM e""")
+def walks_add(spark, d):
+    """Every edge added as a walk."""
+    store = walkstore.WalkStore(walks.kept(_walks(spark, d)), CONFIG)
+    out = store.add_frame(_edges(spark, d).select(F.array("src", "dst").alias("path")))
+    return out.walks.select("walk_id", scalars.format_walk("path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT walk_id, array_to_string(path, ',') AS path FROM walks WHERE walk_id NOT IN (41, 0, 23)")
+def walks_remove(spark, d):
+    out = walkstore.WalkStore(walks.kept(_walks(spark, d)), CONFIG).remove(41, 0, 23)
+    return out.walks.select("walk_id", scalars.format_walk("path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_EVERY_WALK} SELECT walk_id, array_to_string(path, ',') AS path FROM walks WHERE walk_id // {R} = 3")
+def walks_generate_one(spark, d):
+    return walks.generate_for(_store(spark, d), 3, CONFIG).select("walk_id", scalars.format_walk("path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {WALKS} SELECT walk_id, CAST(row_number() OVER (ORDER BY path, walk_id) - 1 AS BIGINT) AS place FROM walks")
+def sorted_walks(spark, d):
+    return setops.numbered(_walks(spark, d), ["path", "walk_id"], "place").select("walk_id", "place")
 
 
 @query(f"WITH RECURSIVE {WALKS} SELECT walk_id FROM walks WHERE list_contains(path, 3) AND list_contains(path, 5)")
@@ -425,6 +506,60 @@ def arbiter_decisions(spark, d):
     return arbiter.decisions(views.nodes(spark, d), counts, F.lit(NOW).cast("timestamp"), config, CONFIG.walks_per_node).select("id", "visits", "decision")
 
 
+#: Walks of active nodes only, and what a scan makes of them.
+_ACTIVE_WALKS = _grown("walks", f"SELECT id * {R} + r AS walk_id, [id] AS path FROM n, range({R}) AS t(r) WHERE status = 'active'", "f", walks.GENERATE)
+_SCAN = f"""{_GRAPH}, {_ACTIVE_WALKS}, c AS (SELECT node, count(*) AS visits FROM (SELECT unnest(path) AS node FROM walks) GROUP BY node),
+d AS (SELECT id, pubkey, status, CASE WHEN status = 'active' AND coalesce(visits, 0) < 60 THEN 'demote'
+  WHEN status = 'inactive' AND coalesce(visits, 0) >= 20 THEN 'promote' END AS decision FROM n LEFT JOIN c ON id = node),
+up AS (SELECT id, pubkey, (SELECT max(walk_id) FROM walks) + 1 + {R} * (row_number() OVER (ORDER BY id) - 1) AS first FROM d WHERE decision = 'promote')"""
+
+
+def _scanned(spark, d):
+    config = EngineConfig(demotion_multiplier=3.0, promotion_multiplier=1.0)
+    store = _store(spark, d)
+    started = walks.kept(walks.generate(store.nodes.where("status = 'active'"), store.edges, CONFIG))
+    return arbiter.scan(store, started, F.lit(NOW).cast("timestamp"), config, CONFIG)
+
+
+@query(f"WITH RECURSIVE {_SCAN} SELECT id, CASE decision WHEN 'demote' THEN 'inactive' WHEN 'promote' THEN 'active' ELSE status END AS status FROM d")
+def arbiter_scan_nodes(spark, d):
+    return _scanned(spark, d)[0].nodes.select("id", "status")
+
+
+@query(f"""WITH RECURSIVE {_SCAN}, {_grown("more", f"SELECT first + r AS walk_id, [id] AS path FROM up, range({R}) AS t(r)", "f", walks.GENERATE)}
+SELECT walk_id, array_to_string(path, ',') AS path FROM walks WHERE path[1] NOT IN (SELECT id FROM d WHERE decision = 'demote')
+UNION ALL SELECT walk_id, array_to_string(path, ',') FROM more""")
+def arbiter_scan_walks(spark, d):
+    return _scanned(spark, d)[1].select("walk_id", scalars.format_walk("path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {_SCAN} SELECT pubkey FROM up")
+def arbiter_scan_promoted(spark, d):
+    return _scanned(spark, d)[2]
+
+
+@query(f"WITH {EDGES} SELECT src, dst FROM e WHERE NOT (src = 3 AND dst IN (1, 2)) UNION SELECT 3, 5 UNION SELECT 3, 8")
+def graph_update(spark, d):
+    return _store(spark, d).update(graph.Delta(3, 3, removed=(1, 2), added=(5, 8))).edges
+
+
+@query(f"WITH {NODES} SELECT id, CASE id WHEN 3 THEN 'inactive' WHEN 4 THEN 'active' ELSE status END AS status FROM n")
+def graph_promote_demote(spark, d):
+    return _store(spark, d).update(graph.Delta(DEMOTION, 3)).update(graph.Delta(PROMOTION, 4)).nodes.select("id", "status")
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT dst FROM e WHERE src = 3 AND dst NOT IN (1, 2, 5)")
+def unchanged_follows(spark, d):
+    return graph.unchanged(_edges(spark, d), graph.Delta(3, 3, removed=(1, 2), added=(5,)))
+
+
+@query("""SELECT user_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view'
+EXCEPT ALL SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) FROM events WHERE event_type <> 'view'""")
+def difference_bags(spark, d):
+    rows = views.events(spark, d).select(F.col("user_id").alias("id"), "k", "kind")
+    return setops.difference_bags(rows.where("kind = 3").select("id", "k"), rows.where("kind <> 3").select("id", "k"))
+
+
 @query("SELECT top_k, CAST(round(100 / (1 - 0.85) * pow(top_k, 0.85) * pow(10000000, 1 - 0.85)) AS BIGINT) AS length FROM (VALUES (5), (100), (200)) AS t(top_k)")
 def required_length(spark, d):
     return spark.createDataFrame([(k, rank.required_length(k, 0.85)) for k in (5, 100, 200)], "top_k int, length long")
@@ -468,8 +603,34 @@ def personalized_rank(spark, d):
     return rank.personalized(store, walks.kept(_walks(spark, d)), [1, 3], 5, CONFIG)
 
 
-@query()
+_REMOVED_STOP, _REMOVED_PICK = rng.draw_sql(CONFIG.seed, "walk_id", "0", 4 + walks.REMOVED)
+_NEW_STOP, _NEW_PICK = rng.draw_sql(CONFIG.seed, "walk_id", "0", 4 + walks.NEW)
+_N_ADDED = "CAST(floor(CAST(CAST(len(adds) AS FLOAT) / CAST(len(adds) + len(common) AS FLOAT) * CAST(visits AS FLOAT) + CAST(0.5 AS FLOAT) AS FLOAT)) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE {WALKS}, mine AS (SELECT fs FROM f WHERE src = 3),
+ch AS (
+  SELECT fs[1:len(fs) // 2] AS removed, fs[len(fs) // 2 + 1:] AS common,
+         [x for x in range(8) if NOT list_contains(fs, x) AND x <> 3] AS adds FROM mine),
+e2 AS (SELECT src, dst FROM e WHERE NOT (src = 3 AND dst IN (SELECT unnest(removed) FROM ch)) UNION SELECT 3, unnest(adds) FROM ch),
+f2 AS (SELECT src, list(dst ORDER BY dst) AS fs FROM e2 GROUP BY src),
+hit AS (
+  SELECT walk_id, path[1:list_position(path, 3)] AS head, CASE WHEN len(common) > 0 THEN common[{_REMOVED_PICK} % len(common) + 1] END AS too
+  FROM walks, ch WHERE list_contains(path, 3) AND list_contains(removed, path[list_position(path, 3) + 1])),
+{_grown("r1", "SELECT walk_id, list_append(head, too) AS path FROM hit WHERE too IS NOT NULL AND NOT list_contains(head, too)", "f2", 4 + walks.REMOVED)},
+w1 AS (
+  SELECT walk_id, path FROM walks WHERE walk_id NOT IN (SELECT walk_id FROM hit) UNION ALL SELECT walk_id, path FROM r1
+  UNION ALL SELECT walk_id, head FROM hit WHERE too IS NULL OR list_contains(head, too)),
+through AS (SELECT walk_id, path[1:list_position(path, 3)] AS head, row_number() OVER (ORDER BY {rng.draw_sql(CONFIG.seed, "walk_id", "0", 4 + walks.SAMPLE)[0]}, walk_id) AS place, count(*) OVER () AS visits FROM w1 WHERE list_contains(path, 3)),
+chosen AS (
+  SELECT walk_id, head, CASE WHEN {_NEW_STOP} <= {LIMIT} THEN adds[{_NEW_PICK} % len(adds) + 1] END AS too
+  FROM through, ch WHERE len(adds) > 0 AND place <= {_N_ADDED}),
+{_grown("r2", "SELECT walk_id, list_append(head, too) AS path FROM chosen WHERE too IS NOT NULL AND NOT list_contains(head, too)", "f2", 4 + walks.NEW)}
+SELECT walk_id, array_to_string(path, ',') AS path FROM (
+  SELECT walk_id, path FROM w1 WHERE walk_id NOT IN (SELECT walk_id FROM chosen) UNION ALL SELECT walk_id, path FROM r2
+  UNION ALL SELECT walk_id, head FROM chosen WHERE too IS NULL OR list_contains(head, too))""")
 def update_walks(spark, d):
+    """All walks after node 3 has lost the first half of its follows and found others."""
     edges = walks.kept(_edges(spark, d))
     mine = sorted(r["dst"] for r in edges.where("src = 3").collect())
     removed, common = mine[: len(mine) // 2], mine[len(mine) // 2 :]

@@ -1,8 +1,9 @@
 """Versioned tables in a folder: state/v=N/{name}, and a CURRENT file that names the version in force.
 
-A version is written whole before CURRENT moves, so a job that dies half-way leaves the former
-version in force. Each version records the last batch that went into it, so a batch that comes
-again changes nothing. All files go through Spark's file systems."""
+A version is written whole before CURRENT moves, and CURRENT is replaced by one rename, so a job
+that dies at any step leaves the former version or the new one in force. Each version records the
+last batch that went into it, so a batch that comes again changes nothing. All files go through
+Spark's file systems."""
 
 from __future__ import annotations
 
@@ -11,11 +12,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a local master, else an error."""
+    sc = spark.sparkContext
+    if found := sc.getConf().get("spark.checkpoint.dir", None):
+        return found
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="walkgraph-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df in the shared checkpoint folder, their lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="walkgraph-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -54,9 +65,17 @@ class StateStore:
         out = self._fs.create(self._of(f"{self.path}/CURRENT.tmp"), True)
         out.write(bytearray(str(new).encode()))
         out.close()
-        self._fs.delete(self._of(f"{self.path}/CURRENT"), False)
-        self._fs.rename(self._of(f"{self.path}/CURRENT.tmp"), self._of(f"{self.path}/CURRENT"))
+        self._switch(f"{self.path}/CURRENT.tmp", f"{self.path}/CURRENT")
         for old in range(new - keep, -1, -1):
             if not self._fs.delete(self._of(f"{self.path}/v={old}"), True):
                 break
         return new
+
+    def _switch(self, source: str, target: str) -> None:
+        """Puts a file in another's place in one step."""
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context.rename(self._fs.makeQualified(self._of(source)), self._fs.makeQualified(self._of(target)), how)

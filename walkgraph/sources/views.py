@@ -28,12 +28,26 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the follow-list format: views are follow lists, clicks profiles, others of an unknown kind."""
+    return _as_events(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events() as a stream, a file at a time."""
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1)
+    # A stream reads a folder: the table itself, or the one that its file is in.
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return _as_events(source.parquet(path) if folder else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def _as_events(rows: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     key = lambda c: F.md5(c.cast("string"))
     kind = F.when(F.col("event_type") == "view", 3).when(F.col("event_type") == "click", 0).otherwise(1)
     user = F.col("user_id")
     tags = F.array(F.array(F.lit("p"), key(k)), F.array(F.lit("p"), key((k * 7) % 100)), F.array(F.lit("e"), key(k)), F.array(F.lit("p"), key(user)), F.array(F.lit("p")))
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), key(user).alias("pubkey"), kind.alias("kind"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"), tags.alias("tags"), "user_id", k.alias("k"))
 
