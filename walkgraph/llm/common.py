@@ -60,6 +60,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_since(count: int) -> list[str]:
+    """What fresh_path() has named but for the first `count` paths."""
+    return [path for _, path in _WRITTEN[count:]]
+
+
+def written_count() -> int:
+    return len(_WRITTEN)
+
+
 def _remove() -> None:
     for spark, path in _WRITTEN:
         drop(spark, path)
