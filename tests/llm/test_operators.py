@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and the odd cases of its input."""
 
+import itertools
 import random
 import zlib
 
@@ -197,6 +198,36 @@ def repair_cost(roles):
     return min(c + chat.INSERT * len(chat.AFTER[s]) for s, c in best.items())
 
 
+def least_cost(roles):
+    """Least cost with nothing of the module but its prices: every relabelling and every merge, then the shortest legal conversation that the turns are a part of, in order."""
+    best = 10**9
+    for new in itertools.product("sua", repeat=len(roles)):
+        relabel = sum(chat.RELABEL for a, b in zip(roles, new) if (a or "?")[0] != b or a not in ("system", "user", "assistant"))
+        for merges in itertools.product((False, True), repeat=len(roles) - 1):
+            if any(m and new[i] != new[i + 1] for i, m in enumerate(merges)):
+                continue
+            turns = [new[0], *(b for b, m in zip(new[1:], merges) if not m)]
+            for first in ("", "s"):
+                for pairs_ in range(1, len(turns) + 2):
+                    target = iter(first + "ua" * pairs_)
+                    if all(t in target for t in turns):
+                        best = min(best, relabel + chat.MERGE * sum(merges) + chat.INSERT * (len(first) + 2 * pairs_ - len(turns)))
+    return best
+
+
+def test_chat_costs_of_all_short_conversations(spark):
+    every = [c for n in (1, 2, 3, 4) for c in itertools.product(("system", "user", "assistant", None), repeat=n)]
+    rows_ = [(i, t, role, "x") for i, c in enumerate(every) for t, role in enumerate(c)]
+    clash = "conv_id long, turn long, role string, text string"
+    table = spark.createDataFrame(rows_, clash)
+    for name in ("new_role", "cost", "pid", "conv", "tie", "rendered"):
+        table = table.withColumn(name, F.lit("mine"))
+    out = chat.repair(table)
+    assert out.columns == ["conv_id", "turn", "role", "new_role", "action", "inserted", "appended", "cost", "rendered"]
+    cost = {r["conv_id"]: r["c"] for r in out.groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()}
+    assert cost == {i: least_cost(c) for i, c in enumerate(every)}
+
+
 def legal(text):
     roles = [x.split("\n")[0] for x in text.split(chat.OPEN)[1:]]
     if roles and roles[0] == "system":
@@ -583,3 +614,48 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     root = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     assert root == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000}
+
+
+# Very long texts, beyond what a kernel works on at once
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    rng = random.Random(6)
+    text = " ".join(f"{rng.randrange(10**18):018d}" for _ in range(120_000)) + " ümläut"
+    assert len(text) > common.CHUNK_BYTES
+    rows_ = [(1, text), (2, "a short one"), (3, "x " + text[:1000]), (4, text)]
+    table = spark.createDataFrame([(a, b, "en", "s", len(b)) for a, b in rows_], SCHEMA)
+    return rows_, common.checkpointed(table)
+
+
+def test_long_texts(spark, long, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows_, table = long
+    items = [(1, " ".join(rows_[0][1].split()[-20:])), (2, "a short")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(decontaminate.judge(table, bench, ["doc_id"]), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(decontaminate.brute(rows_, items))
+    t = Tokenizer.from_file(tokenizer_file())
+    assert rows(tokens.count_tokens(table, tokenizer_file()), "doc_id", "n_tokens") == [(a, len(t.encode(b, add_special_tokens=False).ids)) for a, b in rows_]
+    assert rows(sharding.shard(table), "doc_id", "size", "text_crc32") == [(a, len(b.encode()) + 1, zlib.crc32(b.encode())) for a, b in rows_]
+    figures_ = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert rows(quality.judge(table), "doc_id", *figures_) == [(a, *quality_brute(b)) for a, b in rows_]
+    found = rows(simhash.near_duplicates(table), "doc_id", "fingerprint", "component_id")
+    assert [f for _, f, _ in found[1:3]] == [f for _, f, _ in simhash.brute(rows_[1:3])] and found[0][1] == found[3][1] and found[3][2] == 1
+    import numpy as np
+
+    out = packing.pack(table, ids=ranks()).orderBy("doc_id", "piece").collect()
+    for a, b in rows_[:3]:
+        assert [x for r in out if r["doc_id"] == a for x in np.frombuffer(bytes(r["token_ids"]), "<u2").tolist()] == own_ids(b)
+    ordering.materialise(table, str(tmp_path / "long"), ranks())
+    stream = [x for a, b in rows_ for x in [*own_ids(b), 50256]]
+    whole = list(ordering.resume(str(tmp_path / "long")))
+    places = common.permuted(np.arange(len(whole)), len(whole), ordering.KEY)
+    assert np.concatenate([whole[p] for p in places])[: len(stream)].tolist() == stream
+
+
+def test_a_long_conversation(spark):
+    text = "y" * (common.CHUNK_BYTES + 5)
+    out = chat.repair(spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "z")], "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert text in out[0]["rendered"] and sum(r["cost"] for r in out) == least_cost(["user", "user"])
