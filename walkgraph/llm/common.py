@@ -60,6 +60,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, level: int) -> DataFrame:
+    """written(), with zstd at this level; the shuffles that made df lose their files when the table is whole."""
+    spark = df.sparkSession
+    path, clean = fresh_path(spark, "table"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written_since(count: int) -> list[str]:
     """What fresh_path() has named but for the first `count` paths."""
     return [path for _, path in _WRITTEN[count:]]
@@ -267,16 +280,6 @@ def by_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     return tied.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).drop("__tie")
 
 
-def summed(df: DataFrame, weight: str) -> tuple[DataFrame, dict[int, int], int]:
-    """The rows in their partitions, kept in the shared folder, with `__pid`; the sum of `weight` before each partition, and of all."""
-    rows = checkpointed(df).withColumn("__pid", F.spark_partition_id())
-    starts, total = {}, 0
-    for r in rows.groupBy("__pid").agg(F.sum(weight).alias("n")).orderBy("__pid").collect():
-        starts[r["__pid"]] = total
-        total += r["n"]
-    return rows, starts, total
-
-
 def numbered(df: DataFrame, order: list[str], name: str, group: str | None = None) -> tuple[DataFrame, int]:
     """Adds `name`: the rows before this one in the order of `order`, from 0 and without gaps; and the count of all.
 

@@ -63,19 +63,18 @@ def public_ranks(name: str = RANKS) -> Ranks:
 
 
 def squeezed(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 3)
 
 
 def unsqueezed(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
-def with_ids(docs: DataFrame, ids: Ranks, carry: list[str], text: str = "text", squeezed: bool = False) -> DataFrame:
-    """The columns `carry`, `__ids` (the text's ids as bytes, compressed if so asked) and `__n`, their count."""
+def with_ids(docs: DataFrame, ids: Ranks, carry: list[str], text: str = "text") -> DataFrame:
+    """The columns `carry`, `__ids` (the text's ids as bytes) and `__n`, their count."""
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         found = ids.encode(batch.column(text))
-        kept = [zstandard.compress(x, 1) for x in found] if squeezed else found
-        return [pa.array(kept, pa.binary()), pa.array([len(x) // KIND.itemsize for x in found], pa.int64())]
+        return [pa.array(found, pa.binary()), pa.array([len(x) // KIND.itemsize for x in found], pa.int64())]
 
     return with_arrow(docs, [T.StructField("__ids", T.BinaryType()), T.StructField("__n", T.LongType())], work, carry, text)

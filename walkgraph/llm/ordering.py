@@ -9,9 +9,9 @@ to tasks by ranges of slots that are cut at bounds of shards, so a shard is one
 writes from its beginning to its end. A reader that has seen n sequences goes on at slot n by
 arithmetic and one seek.
 
-Documents are dealt by ranges, encoded once and kept in the shared folder; a document's place in
-the stream follows from the counts of ids of the ranges before, one number each, and of the rows
-before it in its range. Rows that are equal in id and text are parted by their places, so neither
+Documents are dealt by ranges, encoded once and kept in the shared folder, each with the count of
+ids before it in its range; its place in the stream is that and the counts of the ranges before, one
+number each. When the table is whole the texts' shuffle is no longer needed and its files go. Rows that are equal in id and text are parted by their places, so neither
 a hot id nor many equal rows meet in a task; a long document's sequences spread over all shards.
 Ids are compressed wherever they are kept or moved, but for the shards.
 
@@ -38,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walkgraph.llm.common import by_ranges, partitions, permuted, split, summed
-from walkgraph.llm.encoding import KIND, Ranks, squeezed, unsqueezed, with_ids
+from walkgraph.llm.common import by_ranges, partitions, permuted, settled, split
+from walkgraph.llm.encoding import KIND, Ranks, squeezed, unsqueezed
 
 LENGTH = 2048
 PER_SHARD = 1 << 14
 KEY = 0x0DDE5
 #: Pieces in an Arrow batch.
 BATCH = 1 << 10
+#: The zstd level of the kept ids.
+LEVEL = 9
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -57,24 +59,41 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def encoded(docs: DataFrame, ids: Ranks, doc_id: str, text: str) -> DataFrame:
+    """(doc, range, before, n, ids): each document's ids, how many with the end id, and how many its range has before it; kept."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc"), whole.alias("text"), F.xxhash64(whole).alias("hash"))
+    dealt = by_ranges(rows, ["doc", "hash"]).select("doc", F.spark_partition_id().alias("range"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for whole_batch in batches:
+            for batch in split(whole_batch, "text"):
+                found = ids.encode(batch.column("text"))
+                n = np.array([len(x) // KIND.itemsize + 1 for x in found], np.int64)
+                columns = [batch.column("doc"), batch.column("range"), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array(found, pa.binary())]
+                before += int(n.sum())
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "range", "before", "n", "ids"])
+
+    kind = dealt.schema["doc"].dataType.simpleString()
+    return settled(dealt.mapInArrow(run, f"doc {kind}, range int, before long, n long, ids binary"), LEVEL)
+
+
 def pieces(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
     """(slot, at, doc_id, part, n_tokens, ids): what a document has of a sequence, from its place `at`; and the count of sequences."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("__doc"), whole.alias("__text"), F.xxhash64(whole).alias("__hash"))
-    dealt = with_ids(by_ranges(rows, ["__doc", "__hash"]), ids, ["__doc"], "__text", squeezed=True)
-    rows, starts, tokens = summed(dealt.withColumn("__n", F.col("__n") + 1), "__n")
+    rows = encoded(docs, ids, doc_id, text)
+    starts, tokens = {}, 0
+    for r in rows.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():  # a row for each partition
+        starts[r["range"]] = tokens
+        tokens += r["n"]
     total, end = -(-tokens // length), np.array([ids.end], KIND).tobytes()
     size = KIND.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin = None
         for whole_batch in batches:
-            for batch in split(whole_batch, "__ids"):
-                n = batch.column("__n").to_numpy()
-                if begin is None:
-                    begin = starts[batch.column("__pid")[0].as_py()]
-                first = begin + np.cumsum(n) - n  # places in the stream
-                begin += int(n.sum())
+            for batch in split(whole_batch, "ids"):
+                n = batch.column("n").to_numpy()
+                first = batch.column("before").to_numpy() + np.array([starts[r] for r in batch.column("range").to_pylist()])  # places in the stream
                 # A document's pieces: one for each sequence that it has ids of.
                 many = (first + n - 1) // length - first // length + 1
                 of = np.repeat(np.arange(len(n)), many)
@@ -82,9 +101,9 @@ def pieces(docs: DataFrame, ids: Ranks, length: int, key: int, doc_id: str, text
                 sequence = first[of] // length + part
                 lo = np.maximum(sequence * length, first[of])
                 hi = np.minimum((sequence + 1) * length, first[of] + n[of])
-                data = [unsqueezed(x) + end for x in batch.column("__ids").to_pylist()]
+                data = [x + end for x in batch.column("ids").to_pylist()]
                 cut = [squeezed(data[i][size * a : size * b]) for i, a, b in zip(of.tolist(), (lo - first[of]).tolist(), (hi - first[of]).tolist())]
-                columns = [pa.array(permuted(sequence, total, key)), pa.array((lo - sequence * length).astype(np.int32)), batch.column("__doc").take(pa.array(of)), pa.array(part), pa.array((hi - lo).astype(np.int32)), pa.array(cut, pa.binary())]
+                columns = [pa.array(permuted(sequence, total, key)), pa.array((lo - sequence * length).astype(np.int32)), batch.column("doc").take(pa.array(of)), pa.array(part), pa.array((hi - lo).astype(np.int32)), pa.array(cut, pa.binary())]
                 whole_out = pa.RecordBatch.from_arrays(columns, names)
                 for k in range(0, len(of), BATCH):
                     yield whole_out.slice(k, BATCH)
@@ -102,8 +121,7 @@ def materialise(docs: DataFrame, path: str, ids: Ranks, length: int = LENGTH, pe
     shards = -(-total // per_shard)
     tasks = max(1, min(shards, partitions(docs.sparkSession)))
     stride = length * KIND.itemsize
-    dealt = made.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(shards, 1)} as int)")).sortWithinPartitions("slot", "at")
+    dealt = made.repartitionById(tasks, F.expr(f"cast(slot div {per_shard} * {tasks} div {max(shards, 1)} as int)")).sortWithinPartitions("slot", "at")
     padding = np.array([ids.padding], KIND).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +135,9 @@ def materialise(docs: DataFrame, path: str, ids: Ranks, length: int = LENGTH, pe
                 _replace(store, temporary, f"{root}/{shard_name(now)}")
 
         for batch in batches:
-            own, sums = batch.column("shard").to_pylist(), []
-            offset = batch.column("slot").to_numpy() % per_shard * stride + batch.column("at").to_numpy() * KIND.itemsize
-            for shard, place, piece in zip(own, offset.tolist(), batch.column("ids")):
+            slot, sums = batch.column("slot").to_numpy(), []
+            own, offset = slot // per_shard, slot % per_shard * stride + batch.column("at").to_numpy() * KIND.itemsize
+            for shard, place, piece in zip(own.tolist(), offset.tolist(), batch.column("ids")):
                 if shard != now:
                     close()
                     now, written_to, temporary = shard, 0, f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
@@ -132,7 +150,7 @@ def materialise(docs: DataFrame, path: str, ids: Ranks, length: int = LENGTH, pe
                 out.write(data)
                 written_to = place + len(data)
                 sums.append(zlib.crc32(data))
-            columns = [batch.column("slot"), batch.column("shard"), pa.array(offset), *[batch.column(c) for c in ("doc_id", "part", "n_tokens")], pa.array(sums, pa.int64())]
+            columns = [batch.column("slot"), pa.array(own), pa.array(offset), *[batch.column(c) for c in ("doc_id", "part", "n_tokens")], pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"])
         close()
 
