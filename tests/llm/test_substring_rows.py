@@ -2,7 +2,10 @@
 
 import random
 
+import duckdb
+
 from walkgraph.llm import substrings
+from walkgraph.llm.queries import OP4_SQL
 
 
 def test_rows_of_one_id(spark):
@@ -14,6 +17,10 @@ def test_rows_of_one_id(spark):
     want = sorted(substrings.brute(docs), key=str)
     assert sorted((tuple(r) for r in out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == want
     assert sorted(r[2] for r in want if r[0] == 7) == [0, 60, 70]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(con.sql(OP4_SQL).fetchall(), key=str) == want
 
 
 def thue_morse(n):

@@ -96,17 +96,17 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 places AS (
-  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+  SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
 least AS (SELECT s, min(doc_id) AS first FROM places GROUP BY s),
 gone AS (
-  SELECT DISTINCT doc_id, p FROM places JOIN least USING (s), unnest(range(i, i + 50)) AS u(p) WHERE first < doc_id),
-lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+  SELECT DISTINCT rid, p FROM places JOIN least USING (s), unnest(range(i, i + 50)) AS u(p) WHERE first < doc_id),
+lists AS (SELECT rid, list(p) AS ps FROM gone GROUP BY rid)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
          [x[1] for x in list_zip(w, range(1, len(w) + 1)) if NOT list_contains(ps, x[2])] END, ' ')) AS kept_sha256
-FROM d LEFT JOIN lists USING (doc_id)
+FROM d LEFT JOIN lists USING (rid)
 """
 
 OP8_SQL = r"""
