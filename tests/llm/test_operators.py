@@ -433,6 +433,22 @@ def test_ordering_is_read_with_seeks(spark, docs, tmp_path):
     assert [x.tolist() for x in ordering.resume(str(path), 25)] == whole[25:]
 
 
+def test_ordering_does_not_hang_on_how_kept_ids_are_read(spark, tmp_path):
+    """The same shards where each range of kept ids is read in many small splits; the session's settings are as before."""
+    clean, most = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.files.maxPartitionBytes"
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 40)) for i in range(3000)], "doc_id long, text string").repartition(6)
+    before = spark.conf.get(most), spark.conf.get(clean)
+    ordering.materialise(docs, str(tmp_path / "a"), ranks(), length=16, per_shard=500)
+    spark.conf.set(most, "2048")
+    try:
+        ordering.materialise(docs.repartition(3), str(tmp_path / "b"), ranks(), length=16, per_shard=500)
+    finally:
+        spark.conf.set(most, before[0])
+    assert (spark.conf.get(most), spark.conf.get(clean)) == before
+    shards = [{p.name: p.read_bytes() for p in (tmp_path / x).iterdir() if p.name.endswith(".bin")} for x in "ab"]
+    assert len(shards[0]) > 3 and shards[0] == shards[1]
+
+
 def test_ordering_of_nothing_and_of_equal_rows(spark, tmp_path):
     none = ordering.materialise(empty(spark), str(tmp_path / "none"), ranks())
     assert none.count() == 0 and list(ordering.resume(str(tmp_path / "none"))) == []
