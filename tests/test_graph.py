@@ -13,7 +13,7 @@ from walkgraph.functions import rng, scalars
 from walkgraph.operators import arbiter, events, rank, setops, walks, walkstore
 from walkgraph.operators.graph import Delta, GraphStore, random_graph
 from walkgraph.operators.walkstore import WalkStore
-from walkgraph.plans.queries import QUERIES, SQL
+from walkgraph.plans.queries import _SHARE, QUERIES, SQL
 from walkgraph.schemas import EDGES, EVENTS, NODES
 from walkgraph.sources.state import StateStore
 
@@ -223,6 +223,21 @@ def test_scalars(spark):
     assert all(map(scalars.on_curve, KEYS.values())) and not scalars.on_curve(INVALID) and not scalars.on_curve(None)
 
 
+def test_walks_to_update_in_single_precision(spark):
+    """Shares just at a half, and counts that single precision doesn't hold, against the SQL and the operator on one node."""
+    draw = np.random.default_rng(1)
+    n = draw.integers(1, 10**9, 500)
+    large = zip((n * draw.random(500)).astype(int).tolist(), n.tolist(), draw.integers(1, 10**9, 500).tolist())
+    small = [(k, n, visits) for n in (12, 24) for k in range(n + 1) for visits in range(1, 241)]
+    rows = spark.createDataFrame([(7, 24, 108), *small, *large], "k long, n long, visits long")
+    found = rows.select("k", "n", "visits", scalars.walks_to_update(F.col("k"), F.col("n"), F.col("visits")).alias("n_walks")).toArrow()
+    con = duckdb.connect()
+    con.register("found", found)
+    assert con.sql(f"SELECT * FROM found WHERE n_walks IS DISTINCT FROM {_SHARE}").fetchall() == []
+    assert [r for r in found.to_pylist() if r["n_walks"] != walks.sample_size(r["k"], r["n"], r["visits"])] == []
+    assert found.to_pylist()[0]["n_walks"] == 31
+
+
 def test_graph_store(spark):
     graph = graph_of(spark, [(0, 1)], 3)
     assert {r["id"]: r["list"] for r in graph.follows(0, 1).collect()} == {0: [1], 1: []}

@@ -84,9 +84,11 @@ def half_up(x: Column) -> Column:
 
 
 def walks_to_update(added: Column, current: Column, visits: Column) -> Column:
-    """The share added / current of the visits, in single precision, rounded half up."""
-    share = added.cast("float") / current.cast("float") * visits.cast("float")
-    return F.when(current > 0, F.floor((share + F.lit(0.5).cast("float")).cast("float")).cast("long")).otherwise(F.lit(0).cast("long"))
+    """The share added / current of the visits, each step in single precision, rounded half up."""
+    # Spark divides in double precision, and takes a cast to single that one to double follows away; a zero between them keeps it.
+    single = lambda c: c.cast("float") + F.lit(0).cast("float")
+    share = (single(added) / single(current)).cast("float") * visits.cast("float")
+    return F.when(current > 0, F.floor(share + F.lit(0.5).cast("float")).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def follow_tags(tags: str | Column, author: str | Column) -> Column:
